@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, linededup, mixing, sharding, urltrie
+from . import fingerprint, langid, linededup, mixing, packing, quality, sharding, tokenbin, urltrie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     clean = linededup.drop_boilerplate(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")), dropped="n_dropped")
@@ -31,6 +39,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrie.judge(table(spark, sf_dir, "pages"), urltrie.PRODUCTION_RULES)
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file, which every executor has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -61,10 +84,14 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m WHERE
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
+    "op7_pack": op7_pack,
     "op9_shard": op9_shard,
+    "op10_tokens": op10_tokens,
 }
 
 SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
