@@ -220,3 +220,32 @@ def learn_from(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out, and identifies all."""
     return identify(docs, *learn_from(docs))
+
+
+def _keep(langs: list[str], protos: np.ndarray, dims: int, seed: int, at: int, least: float, letters: int):
+    judge = _judge(langs, protos, dims, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _chunks(batch, 1024):
+                text = part.column(at)
+                (got,) = judge(iter([pa.RecordBatch.from_arrays([text], ["text"])]))
+                pred, score = got.column(0).to_pylist(), got.column(1).to_pylist()
+                far = [s < least and sum(map(str.isalpha, t or "")) >= letters for t, s in zip(text.to_pylist(), score, strict=True)]
+                yield part.filter(pa.array([p != "und" and not f for p, f in zip(pred, far, strict=True)], pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, least: float = 0.1, letters: int = 200) -> DataFrame:
+    """docs, all columns, without the documents whose language is not known.
+
+    Rejected are texts that are null or have no letter, and texts of at least ``letters`` letters whose
+    largest cosine is below ``least``: they are like none of the languages learned here. A short text
+    can be far from all, so its score rejects nothing. Where no language was learned, nothing with a
+    letter can be judged and only texts without a letter go. No shuffle.
+    """
+    langs, protos = learn_from(docs)
+    if not langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return docs.mapInArrow(_keep(langs, protos, DIMS, SEED, docs.columns.index("text"), least, letters), docs.schema)

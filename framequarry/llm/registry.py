@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, mixing, packing, quality, sharding, tokenbin, urltrie
+from . import fingerprint, jaccard, langid, linededup, mixing, packing, quality, sharding, tokenbin, urltrie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op5_mix": op5_mix,
     "op6_url_filter": op6_url_filter,
     "op7_pack": op7_pack,
+    "op8_jaccard": op8_jaccard,
     "op9_shard": op9_shard,
     "op10_tokens": op10_tokens,
 }
