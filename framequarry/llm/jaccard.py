@@ -11,18 +11,23 @@ hold c common tokens with any partner. In the order, frequent tokens come last.
 
 The boundary is where the cost of the subsets, summed over all sets of a size, exceeds that of the
 lists. A list's sets are cut into blocks; each pair of blocks is a tile, and tiles with equal
-members are one. A tile's sets are compared exactly in one task, by a product of incidence
-matrices, and only a spanning forest of its links leaves the task. So pairs of a group are never
-written out, and no list meets in one task: the lists of frequent tokens are dealt over a grid.
+members are one. No list meets in one task: those of frequent tokens are dealt over a grid.
+
+In a tile, sets are held against each other by parity bitmaps: two sets differ in at least as many
+tokens as their bitmaps in bits, so a pair with too many is no link. What is left is compared
+exactly, in two rounds. The first takes a spanning forest of a tile, the likeliest pairs first;
+the links found join sets to components. The second takes the pairs across components that are
+left. So the pairs within a group of near copies are not written out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +36,12 @@ from .common import BROADCAST_ROWS, checked, fresh, written
 
 WORDS, PERCENT = 5, 80
 BLOCK = 128
-TOP = 1 << 17  # frequent tokens that the order puts last; the order may be any, so this drops nothing
+LEAST_BITS = 1024  # of a bitmap
+TOP = 1 << 18  # frequent tokens that the order puts last; the order may be any, so this drops nothing
 GRID = 4096  # a token in more sets is dealt over a grid of this many sets a cell
 MAX_LIGHT = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
-_known: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,26 +65,80 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct k-word shingles; of fewer words, of the sequence; of none, nothing."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, dtype=U)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=U, count=len(words))
-    k = min(k, len(words))
-    n = len(words) - k + 1
-    out = np.full(n, k, dtype=U)
-    for i in range(k):
-        out = _mix(out * U(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+def shingle_batch(texts: list[str | None], k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, offsets, names) of many texts: tokens[offsets[i] : offsets[i + 1]] is the sorted set of text i.
+
+    A set holds hashes of the distinct k-word shingles; of fewer words, of the sequence; of none, nothing.
+    A name is a signed 64-bit hash of a set; equal sets have equal names, and names count only together with sizes.
+    """
+    words = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
+    count = np.array([len(w) for w in words], dtype=np.int64)
+    ends = np.concatenate(([0], np.cumsum(count)))
+    h = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), dtype=U, count=int(ends[-1]))
+    size = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    off = np.concatenate(([0], np.cumsum(size)))
+    tokens = np.empty(int(off[-1]), dtype=U)
+    n = len(h) - k + 1
+    long = count >= k
+    if long.any():
+        every = np.full(n, k, dtype=U)
+        for i in range(k):
+            every = _mix(every * U(0x9E3779B97F4A7C15) + h[i : i + n])
+        shift = np.repeat(np.where(long, ends[:-1] - off[:-1], 0), size)
+        at = np.flatnonzero(np.repeat(long, size))
+        tokens[at] = every[at + shift[at]]
+    for i in np.flatnonzero((count > 0) & ~long).tolist():
+        x = np.full(1, count[i], dtype=U)
+        for j in range(count[i]):
+            x = _mix(x * U(0x9E3779B97F4A7C15) + h[ends[i] + j])
+        tokens[off[i]] = x[0]
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        tokens[a:b].sort()
+    keep = np.ones(len(tokens), dtype=bool)
+    keep[1:] = tokens[1:] != tokens[:-1]
+    some = size > 0
+    keep[off[:-1][some]] = True
+    off = np.concatenate(([0], np.cumsum(keep)))[off]
+    tokens = tokens[keep]
+    names = np.zeros(len(texts), dtype=np.int64)
+    if some.any():
+        x = _mix(tokens * U(0xD1342543DE82EF95) + U(1))
+        starts = off[:-1][some]
+        total = np.add.reduceat(x, starts) + np.diff(off)[some].astype(U)
+        names[some] = _mix(total ^ np.bitwise_xor.reduceat(_mix(x), starts)).view(np.int64)
+    return tokens, off, names
+
+
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    """The number of parities kept of a set: a power of two, at least LEAST_BITS and twice the size, so that it tells differences of a ninth."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+
+
+def bitmaps(tokens: np.ndarray, off: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """Of each set in ``which``, whether an odd number of tokens end in i, for each i below its bitmap_bits."""
+    size = np.diff(off)
+    bits = bitmap_bits(size[which])
+    out: list[bytes] = [b""] * len(which)
+    for m in np.unique(bits).tolist():
+        some = np.flatnonzero(bits == m)
+        step = max(1, (1 << 22) // m)
+        for a in range(0, len(some), step):
+            part = some[a : a + step]
+            sets = which[part]
+            t = np.concatenate([tokens[off[i] : off[i + 1]] for i in sets])
+            owner = np.repeat(np.arange(len(sets)), size[sets])
+            odd = np.bincount(owner * m + (t & U(m - 1)).astype(np.int64), minlength=len(sets) * m) & 1
+            for k, row in zip(part.tolist(), np.packbits(odd.astype(np.uint8).reshape(len(sets), m), axis=1), strict=True):
+                out[k] = row.tobytes()
+    return out
 
 
-def _signature(s: np.ndarray) -> int:
-    """A signed 64-bit name of the whole set; equal sets have equal names, and names count only together with sizes."""
-    if not len(s):
-        return 0
-    x = _mix(s * U(0xD1342543DE82EF95) + U(1))
-    return int(_mix(np.array([x.sum() + U(len(s))], dtype=U) ^ np.bitwise_xor.reduce(_mix(x)))[0].astype(np.int64))
+def folded(bits: bytes, size: int) -> bytes:
+    """The bitmap of the same set with fewer parities: halves are added."""
+    x = np.frombuffer(bits, dtype=np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
 
 
 def ceil_share(n: int, percent: int = PERCENT) -> int:
@@ -87,60 +146,60 @@ def ceil_share(n: int, percent: int = PERCENT) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (kind 0: doc_id, n, set) and, of each chunk, its tokens in three sets or more (kind 1: token, count)."""
+    """A row per document (kind 0: doc_id, n, name) and, of each chunk, the tokens in two sets or more (kind 1: token, count)."""
     names = ["kind", "a", "b", "c"]
 
     def frequent(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        u, c = np.unique(np.concatenate(tokens), return_counts=True)
-        u, c = u[c >= 3], c[c >= 3]
+        t = np.sort(np.concatenate(tokens))
+        edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
+        c = np.diff(edge)
+        u, c = t[edge[:-1]][c >= 2], c[c >= 2]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(u), np.int64))], names)
 
     tokens, held, seen = [], 0, set()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            n, names_ = [], []
-            for t in part.column(1):
-                s = shingles(t.as_py())
-                key = (len(s), _signature(s))
-                n.append(key[0])
-                names_.append(key[1])
-                if len(s) and key not in seen:
+            t, off, name = shingle_batch(part.column(1).to_pylist())
+            n = np.diff(off)
+            for i, key in enumerate(zip(n.tolist(), name.tolist(), strict=True)):
+                if key not in seen:
                     seen.add(key)
-                    tokens.append(s)
-                    held += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n, pa.int64()), pa.array(names_, pa.int64())], names)
+                    tokens.append(t[off[i] : off[i + 1]])
+                    held += key[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), pa.array(name)], names)
             if held > 3_000_000:
                 yield frequent(tokens)
                 tokens, held = [], 0
-    if tokens:
+    if held:
         yield frequent(tokens)
 
 
-@dataclass
 class Order:
-    """The frequent tokens, sorted, and their rough numbers of sets; and the boundary of light sets."""
-
-    tokens: np.ndarray
-    sets: np.ndarray
-    light: int = 0
-
-    def weight(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.zeros(len(s), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == s, self.sets[at], 0)
-
-    def keys(self, s: np.ndarray, name: int, percent: int = PERCENT) -> np.ndarray:
-        """The lists that a set is put into."""
-        n, w = len(s), self.weight(s)
+    """The frequent tokens and their rough numbers of sets, and the boundary of light sets."""
+
+    def __init__(self, tokens: np.ndarray, sets: np.ndarray, light: int = 0):
+        by = np.argsort(tokens)
+        self.tokens, self.sets, self.light = tokens[by], sets[by], light
+        self.maybe = np.zeros(1 << 22, dtype=bool)  # most other tokens are told apart by their first bits
+        self.maybe[(tokens >> U(42)).astype(np.int64)] = True
+
+    def weight(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), dtype=np.int64)
+        if len(self.tokens):
+            look = np.flatnonzero(self.maybe[(tokens >> U(42)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.tokens, tokens[look]), len(self.tokens) - 1)
+            out[look] = np.where(self.tokens[at] == tokens[look], self.sets[at], 0)
+        return out
+
+    def keys(self, s: np.ndarray, w: np.ndarray, name: int, percent: int = PERCENT) -> np.ndarray:
+        """The lists that one set is put into; w: the weights of its tokens."""
+        n = len(s)
         order = np.lexsort((s, w))
         slack, out = n - ceil_share(n, percent), []
         if n <= self.light:
             p = np.sort(s[order[: slack + 2]])
-            if len(p) < 2:
-                out.append(_mix(p ^ U(0x5851F42D4C957F2D)))  # a set of one token: its only partner is itself
-            else:
+            if len(p) >= 2:  # a set of one token has no partner but its equal
                 i, j = np.triu_indices(len(p), 1)
                 out.append(_mix(p[i] * U(0x9E3779B97F4A7C15) + _mix(p[j] + U(2))))
         if 100 * n > percent * self.light:  # may have a heavy partner, or is one
@@ -154,6 +213,27 @@ class Order:
                 out.append(_mix(_mix(U(token) + lo * U(0x9E3779B97F4A7C15)) + hi + U(7)))
         return np.concatenate(out) if out else np.empty(0, dtype=U)
 
+    def batch_keys(self, tokens: np.ndarray, off: np.ndarray, names: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, index of the set of each) of the wanted sets.
+
+        Most sets are heavy and have enough infrequent tokens for their prefix: those, in order of their hashes.
+        """
+        n = np.diff(off)
+        w = self.weight(tokens)
+        owner = np.repeat(np.arange(len(n)), n)
+        plain = w == 0
+        before = np.concatenate(([0], np.cumsum(plain)))
+        length = n - (-(-PERCENT * n // 100)) + 1
+        simple = want & (n > self.light) & (before[off[1:]] - before[off[:-1]] >= length)
+        rank = before[1:] - before[off[:-1]][owner]
+        chosen = plain & simple[owner] & (rank <= length[owner])
+        keys, of = [tokens[chosen]], [owner[chosen]]
+        for i in np.flatnonzero(want & ~simple & (n > 0)).tolist():
+            k = self.keys(tokens[off[i] : off[i + 1]], w[off[i] : off[i + 1]], int(names[i]))
+            keys.append(k)
+            of.append(np.full(len(k), i))
+        return np.concatenate(keys), np.concatenate(of)
+
 
 def boundary(sizes: dict[int, tuple[int, float]], percent: int = PERCENT) -> int:
     """The size up to which sets are light, from (size: (sets, mean number of sets on a list of theirs)).
@@ -177,31 +257,39 @@ def boundary(sizes: dict[int, tuple[int, float]], percent: int = PERCENT) -> int
 
 
 def _postings(order: Order):
+    """Per distinct set of a task: its lists (key, name, n) and once its bitmap (key null, bits)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys, names, sizes = [], [], []
-                for t in part.column(0):
-                    s = shingles(t.as_py())
-                    name = _signature(s)
-                    if len(s) and (len(s), name) not in seen:
-                        seen.add((len(s), name))
-                        k = order.keys(s, name)
-                        keys.append(k)
-                        names.append(np.full(len(k), name, dtype=np.int64))
-                        sizes.append(np.full(len(k), len(s), dtype=np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], ["key", "name", "n"])
+                t, off, names = shingle_batch(batch.slice(at, 512).column(0).to_pylist())
+                n = np.diff(off)
+                want = np.zeros(len(n), dtype=bool)
+                for i, key in enumerate(zip(n.tolist(), names.tolist(), strict=True)):
+                    if key[0] and key not in seen:
+                        seen.add(key)
+                        want[i] = True
+                keys, of = order.batch_keys(t, off, names, want)
+                one = np.flatnonzero(want)
+                bits = bitmaps(t, off, one)
+                at_ = np.concatenate((of, one))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(one), pa.int64())]), pa.array(names[at_]), pa.array(n[at_].astype(np.int32)),
+                        pa.concat_arrays([pa.nulls(len(of), pa.binary()), pa.array(bits, pa.binary())]),
+                    ],
+                    ["key", "name", "n", "bits"],
+                )
 
     return run
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, name, n) sorted by all: (tile1, tile2, name, n) of lists with two sets or more, in blocks.
+    """From (key, name, n, bits) sorted by key, n, name: (t1, t2, name, n) of lists with two sets or more, in blocks.
 
-    A tile is named by its members, so lists with the same members give the same tile.
+    A tile is named by its members, so lists with the same members give the same tile. Rows without a
+    key, which bring a set's bitmap, are passed on.
     """
     rest: tuple[np.ndarray, ...] | None = None
 
@@ -233,9 +321,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield rows(np.full(len(x), t1), np.full(len(x), t2), name[x], n[x])
 
     def rows(t1, t2, name, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(name), pa.array(n.astype(np.int32))], ["t1", "t2", "name", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(name), pa.array(n.astype(np.int32))], ["t1", "t2", "name", "n"]).append_column("bits", pa.nulls(len(n), pa.binary()))
 
     for batch in batches:
+        extra = batch.column(0).is_null()
+        if batch.column(0).null_count:
+            b = batch.filter(extra)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1), b.column(2), b.column(3)], ["t1", "t2", "name", "n", "bits"])
+            batch = batch.filter(pc.invert(extra))
         cols = tuple(batch.column(i).to_numpy() for i in range(3))
         if rest is not None:
             cols = tuple(np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True))
@@ -248,75 +341,130 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from of_lists(*rest)
 
 
-def tile_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets, exactly: 100 |A and B| >= percent |A or B|."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    u, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    shared = np.bincount(inverse, minlength=len(u)) > 1  # a token of one set is in no intersection
-    column = np.cumsum(shared) - 1
-    here = shared[inverse]
-    owner, inverse, width = owner[here], column[inverse[here]], int(shared.sum())
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for a in range(0, width, 8192):
-        part = (inverse >= a) & (inverse < a + 8192)
-        m = np.zeros((len(sets), min(8192, width - a)), dtype=np.float32)
-        m[owner[part], inverse[part] - a] = 1
-        common += m @ m.T
-    both = np.rint(common).astype(np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    out, parent = [], list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[b] = a
-            out.append((i, j))
-    return out
+def near_pairs(n: np.ndarray, bits: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs i < j that sizes and bitmaps don't rule out, the likeliest first.
 
+    Sets that reach the threshold differ in at most (100 - percent) / (100 + percent) of their summed sizes.
+    Bitmaps of two lengths are compared at the shorter.
+    """
+    both = n[:, None] + n[None, :]
+    least = np.abs(n[:, None] - n[None, :])
+    length = np.array([len(b) for b in bits])
+    shorter = np.minimum(length[:, None], length[None, :])
+    for m in np.unique(length).tolist():
+        some = np.flatnonzero(length >= m)
+        x = np.frombuffer(b"".join(folded(bits[i], m) for i in some), dtype=U).reshape(len(some), -1)
+        differ = np.zeros((len(some), len(some)), dtype=np.int64)
+        for c in range(x.shape[1]):
+            differ += np.bitwise_count(x[:, c, None] ^ x[None, :, c])
+        at = np.ix_(some, some)
+        least[at] = np.where(shorter[at] == m, np.maximum(least[at], differ), least[at])
+    i, j = np.nonzero(np.triu(least * (100 + percent) <= both * (100 - percent), 1))
+    by = np.argsort(least[i, j] / both[i, j], kind="stable")
+    return i[by], j[by]
+
+
+def _find(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _candidates(second: bool):
+    """From (t1, t2, rep, n, bits[, root]) sorted by tile: pairs (a, b) of rep to be compared exactly."""
+
+    def of_tile(rep: list[int], n: list[int], bits: list[bytes], root: list[int | None]) -> list[tuple[int, int]]:
+        if len(rep) < 2 or second and len({r if x is None else x for r, x in zip(rep, root, strict=True)}) < 2:
+            return []
+        if len(rep) == 2:
+            m = min(map(len, bits))
+            one, other = (int.from_bytes(folded(x, m) if len(x) > m else x) for x in bits)
+            differ = max((one ^ other).bit_count(), abs(n[0] - n[1]))
+            pairs = [(0, 1)] if differ * (100 + PERCENT) <= (n[0] + n[1]) * (100 - PERCENT) else []
+        else:
+            i, j = near_pairs(np.array(n, dtype=np.int64), bits)
+            pairs = list(zip(i.tolist(), j.tolist(), strict=True))
+        if second:
+            group = [r if x is None else x for r, x in zip(rep, root, strict=True)]
+            pairs = [(i, j) for i, j in pairs if group[i] != group[j]]
+        else:
+            parent, forest = list(range(len(rep))), []
+            for i, j in pairs:
+                a, b = _find(parent, i), _find(parent, j)
+                if a != b:
+                    parent[b] = a
+                    forest.append((i, j))
+            pairs = forest
+        return [(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in pairs]
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (t1, t2, rep, tokens) sorted by tile: links (a, b) of rep, a < b."""
-    now, reps, sets, out = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out, seen = None, [], [], set()
 
-    def close() -> None:
-        if len(sets) > 1:
-            out.extend((min(reps[i], reps[j]), max(reps[i], reps[j])) for i, j in tile_links(sets))
-        reps.clear()
-        sets.clear()
+        def close() -> None:
+            if len(rows) > 1:
+                for p in of_tile(*(list(c) for c in zip(*rows, strict=True))):
+                    if p not in seen:
+                        seen.add(p)
+                        out.append(p)
+            rows.clear()
 
-    for batch in batches:
-        t1, t2, rep = (batch.column(i).to_pylist() for i in range(3))
-        for i, token in enumerate(batch.column(3)):
-            if (t1[i], t2[i]) != now:
-                close()
-                now = (t1[i], t2[i])
-            reps.append(rep[i])
-            sets.append(np.frombuffer(token.as_buffer(), dtype=U))
-        sets[:] = [np.array(s) for s in sets]  # let the batch go
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for row in zip(*cols, *([] if second else [[None] * batch.num_rows]), strict=True):
+                if row[:2] != now:
+                    close()
+                    now = row[:2]
+                rows.append(row[2:])
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                out.clear()
+        close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-            out = []
-    close()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            got = [shingles(t.as_py()) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([_signature(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int32()), pa.array([s.tobytes() for s in got], pa.binary())],
-                ["rep", "name", "n", "tokens"],
-            )
+            t, off, _ = shingle_batch(part.column(1).to_pylist())
+            values = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(t)])
+            yield pa.RecordBatch.from_arrays([part.column(0), values.cast(pa.binary())], ["rep", "tokens"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (a, b, tokens) sorted by pair, two rows each: the links (a, b) among them."""
+    held: tuple | None = None
+    for batch in batches:
+        out = []
+        for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if held and held[:2] == (a, b):
+                x, y = np.frombuffer(held[2], dtype=U), np.frombuffer(t, dtype=U)
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= PERCENT * (len(both) - common):
+                    out.append((a, b))
+                held = None
+            else:
+                held = (a, b, t)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def compare(base: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of doc_id that are links, exactly; only the texts that occur in a pair are read into sets."""
+    pairs = written(pairs.distinct(), f"pairs-{name}")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_rep"))
+    wanted = written(ends.select("_rep").distinct(), f"wanted-{name}")
+    chosen = base.join(checked(wanted, wanted.count()), F.col("doc_id") == F.col("_rep"), "left_semi").dropDuplicates(["doc_id"])
+    sets = chosen.mapInArrow(_tokens, "rep bigint, tokens binary")
+    both = ends.join(sets, F.col("_rep") == F.col("rep")).select("a", "b", "tokens")
+    return written(both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compared, "a bigint, b bigint"), f"links-{name}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,28 +496,29 @@ def cluster(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach. A text without words is linked with nothing
     and has its own doc_id. Documents with the same set are linked, whatever their number; they
     stand for one set in the search. Repeated rows get a row each. A null doc_id has the others'
-    component, or null. Texts are read up to three times; moved are the lists, and the texts or
-    sets of those documents that share a list.
+    component, or null. Rows of one doc_id must have one text to be compared by it. Whole texts are
+    read twice, and those of candidate pairs again; moved are the lists, and the sets of such pairs.
     """
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(base.mapInArrow(_sets, "kind int, a bigint, b bigint, c bigint"), "sets")
     of_docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("name"))
-    top = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("sets")).orderBy(F.desc("sets"), "a").limit(TOP).collect()
-    tokens = np.array([r["a"] for r in top], dtype=np.int64).view(U)
-    by = np.argsort(tokens)
-    order = Order(tokens[by], np.array([r["sets"] for r in top], dtype=np.int64)[by])
-    groups = written(of_docs.where("n > 0").groupBy("n", "name").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")), "groups")
-    postings = base.select("text").mapInArrow(_postings_of(order, groups), "key bigint, name bigint, n int")
-    tiles = postings.repartition("key").sortWithinPartitions("key", "n", "name").mapInArrow(_tiles, "t1 bigint, t2 bigint, name bigint, n int")
-    tiles = written(tiles.distinct(), "tiles")
-    wanted = written(tiles.select("name", "n").distinct().join(groups.select("name", F.col("n").cast("int").alias("n"), "rep"), ["name", "n"]).where("rep is not null").select(F.col("rep").alias("_rep")).distinct(), "wanted")
-    few = wanted.count()
-    chosen = base.join(checked(wanted, few), F.col("doc_id") == F.col("_rep")).select("doc_id", "text")
-    sets = chosen.mapInArrow(_tokens, "rep bigint, name bigint, n int, tokens binary")
-    tiled = tiles.join(sets, ["name", "n"]).select("t1", "t2", "rep", "tokens")
-    links = tiled.repartition("t1", "t2").sortWithinPartitions("t1", "t2").mapInArrow(_links, "a bigint, b bigint")
-    roots = components(written(links.distinct(), "links"))
+    top = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("sets")).orderBy(F.desc("sets"), "a").limit(TOP).toArrow()
+    order = Order(top.column("a").to_numpy().astype(np.int64).view(U), top.column("sets").to_numpy().astype(np.int64))
+    groups = written(of_docs.where("n > 0").groupBy("n", "name").agg(F.min("doc_id").alias("rep")), "groups")
+    postings = base.select("text").mapInArrow(_postings_of(order, groups), "key bigint, name bigint, n int, bits binary")
+    lists = postings.repartition(F.coalesce("key", "name")).sortWithinPartitions("key", "n", "name")
+    tiles = written(lists.mapInArrow(_tiles, "t1 bigint, t2 bigint, name bigint, n int, bits binary"), "tiles")
+    sets = tiles.where("bits is not null").groupBy("name", "n").agg(F.first("bits").alias("bits"))
+    sets = sets.join(groups.where("rep is not null").select("name", F.col("n").cast("int").alias("n"), "rep"), ["name", "n"])
+    members = tiles.where("bits is null").select("t1", "t2", "name", "n").distinct()
+    tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "rep", "n", "bits"), "tiled")
+    by_tile = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+    first = compare(base, by_tile(tiled).mapInArrow(_candidates(False), "a bigint, b bigint"), "first")
+    roots = written(components(first), "roots")
+    known = tiled.join(checked(roots, roots.count()), F.col("rep") == F.col("node"), "left").select("t1", "t2", "rep", "n", "bits", "root")
+    second = compare(base, by_tile(known).mapInArrow(_candidates(True), "a bigint, b bigint"), "second")
+    roots = components(first.union(second))
     of_sets = groups.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("name").alias("_name"), F.coalesce("root", "rep").alias("component_id"))
     out = of_docs.join(of_sets, (F.col("n") == F.col("_n")) & (F.col("name") == F.col("_name")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
