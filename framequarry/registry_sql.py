@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from . import demosaic_sql
 from .data.calibration import CAMERAS, CONSTANTS, ILLUMINANTS, XYZ_TO_SRGB
 from .data.formats import CODECS, EXTENSIONS, FORMATS
 
@@ -315,16 +316,22 @@ ORX = "CASE o WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 5 THEN y WHEN 6 THEN 7 -
 ORY = "CASE o WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 7 - x WHEN 8 THEN 7 - x ELSE y END"
 
 
+GAIN_NAME = "gain"
+
+
 def finished(source: str, camera: str, gain: str) -> str:
     m = mat9("ms", "r", "g", "b")
     cols = ", ".join(f"CASE WHEN ms IS NULL THEN {c} ELSE {m[i]} END AS {c}" for i, c in enumerate("rgb"))
     return (
         f", {CAM}, {C2S}, t1 AS (SELECT img_id, x, y, {cols}, {gain} AS gain, img_id % 8 + 1 AS o FROM {source} LEFT JOIN cs ON {camera} = cs.ordinal), "
-        f"t2 AS (SELECT img_id, x, y, o, {', '.join(f'{tone(c, chr(103) + chr(97) + chr(105) + chr(110))} AS {c}' for c in 'rgb')} FROM t1) "
+        f"t2 AS (SELECT img_id, x, y, o, {', '.join(f'{tone(c, GAIN_NAME)} AS {c}' for c in 'rgb')} FROM t1) "
         f"SELECT img_id, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST({ORX} AS INTEGER) AS x, CAST({ORY} AS INTEGER) AS y, r, g, b FROM t2"
     )
 
 
+for _name, _method in demosaic_sql.METHODS.items():
+    SQL[f"demosaic_{_name}"] = f"{PX}, {demosaic_sql.source(_name)}, {_method('src')} SELECT img_id, x, y, r, g, b FROM rgb"
+SQL["develop_auto"] = DEV + f", {demosaic_sql.source('amaze', 's4')}, {demosaic_sql.amaze('src')}" + finished("rgb", "img_id % 24", EV)
 SQL["develop_bilinear"] = DEV + finished("s5", "img_id % 24", EV)
 shifted = lambda c: f"least(({c} // 4) * 4, 65535)"
 bal = lambda c, n: cut(f"CAST({shifted(c)} AS FLOAT) * (CAST(1 AS FLOAT) / {flt(n)})")
