@@ -30,3 +30,28 @@ CODECS = [
     ("png/zlib", "decode"), ("gif/lzw", "decode"), ("tiff/plain", "decode"), ("ppm/plain", "decode"), ("jpeg/imageio", "decode"), ("ljpeg/plain", "decode"),
     ("png/zlib", "encode"), ("dng/plain", "encode"), ("ppm/plain", "encode"),
 ]
+
+# Default options of the encoders, as (format, option, value).
+ENCODE_DEFAULTS = [
+    ("png", "compression", "default"),
+    ("png", "filter", "min_sum_abs"),
+    ("png", "auto_reduce", "false"),
+    ("jpeg", "quality", "90"),
+    ("jpeg", "subsampling", "4:2:0"),
+    ("jpeg", "progressive", "false"),
+    ("jpeg", "restart_interval", "0"),
+    ("jpeg", "density", "1:1"),
+    ("webp", "mode", "lossy"),
+    ("webp", "quality", "75"),
+    ("avif", "lossless", "true"),
+    ("avif", "quality", "80"),
+    ("jxl", "lossless", "true"),
+    ("jxl", "distance", "1.0"),
+    ("jxl", "effort", "7"),
+    ("jxl", "container", "false"),
+    ("common", "metadata", "all"),
+    ("common", "bit_depth", "16"),
+]
+
+# Named colour descriptions, as (name, code of the primaries, code of the transfer curve).
+COLOR_DESCRIPTIONS = [("sRGB", 1, 13), ("Linear sRGB", 1, 8), ("Display P3", 12, 13), ("Rec. 2020", 9, 2), ("Unspecified", 2, 2)]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..data.formats import CODECS, EXTENSIONS, FORMATS
+from ..data.formats import CODECS, COLOR_DESCRIPTIONS, ENCODE_DEFAULTS, EXTENSIONS, FORMATS
 from ..ship import ship
 
 HEAD = 32
@@ -226,3 +226,18 @@ def by_extension(df: DataFrame, ext: str) -> DataFrame:
 
 def codecs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CODECS, "id string, direction string")
+
+
+def encode_defaults(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ENCODE_DEFAULTS, "format string, option string, value string")
+
+
+def color_descriptions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(COLOR_DESCRIPTIONS, "name string, primaries int, transfer int")
+
+
+def color_name(df: DataFrame, primaries: str, transfer: str, out: str = "color") -> DataFrame:
+    """The name of a pair of code points; ``CICP`` for pairs without one."""
+    c = color_descriptions(df.sparkSession).toDF(out, "_p", "_t")
+    named = df.join(F.broadcast(c), (df[primaries] == F.col("_p")) & (df[transfer] == F.col("_t")), "left").drop("_p", "_t")
+    return named.withColumn(out, F.coalesce(out, F.lit("CICP")))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .data.calibration import XYZ_TO_SRGB
 from .functions.matrix import determinant, inverse, lit9, product
-from .operators import codecs, formats, geometry, lookup, metadata, pointwise, stencil
+from .functions.numeric import white_level as white_of
+from .operators import codecs, embedded, formats, geometry, lookup, metadata, planes, pointwise, stencil
+from .operators import raw as raw_files
 from .operators import demosaic as dm
 from .plans.develop import Options, develop, develop_linear
 from .registry_sql import SQL
+from .ship import ship
 from .sources import derived as d
 from .streaming.ingest import probe_stream
 
@@ -442,6 +447,52 @@ def dng_tags(s, at):
     return tags(files).where("tag in (256, 257, 262, 277) and i = 0").select("file_id", "dir", "tag", F.col("num").alias("value"))
 
 
+@query
+def dng_linear_round_trip(s, at):
+    """RGB frames written as DNG and read by the RAW reader."""
+    files = codecs.encode(d.rgb_frames(s, at), "dng").select(F.col("img_id").alias("file_id"), "content")
+    p = raw_files.read(files).where("error is null").select("img_id", "width", F.posexplode("data").alias("i", "v"))
+    i = F.floor(F.col("i") / 3).cast("int")
+    return p.select("img_id", (i % F.col("width")).alias("x"), F.floor(i / F.col("width")).cast("int").alias("y"), (F.col("i") % 3).alias("c"), "v")
+
+
+@query
+def raf_decode(s, at):
+    """Mosaics put into a RAF container, with their size in the EXIF of its preview, and read by the RAW reader."""
+    f = d.raw_frames(s, at)
+    be = lambda n, size: F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    size = F.concat(F.lit("4D4D002A00000008" "0002" "0100000400000001"), be(F.col("width"), 4), F.lit("0101000400000001"), be(F.col("height"), 4), F.lit("00000000"))
+    jpeg = F.concat(F.lit("FFD8FFE1"), be(F.length(size) / 2 + 8, 2), F.hex(F.lit(b"Exif\0\0")), size)
+    body = F.concat(F.lit("00" * 32), F.array_join(F.transform("data", lambda x: F.lpad(F.hex(x.cast("long")), 4, "0")), ""))
+    n = F.lit(160).cast("long")
+    head = F.concat(F.hex(F.lit(b"FUJIFILMCCD-RAW ".ljust(28, b"0"))), F.hex(F.lit(b"X-T5".ljust(56, b"\0"))), be(n, 4), be(F.length(jpeg) / 2, 4), be(n + F.length(jpeg) / 2, 4), F.lit("00000000"), be(F.length(body) / 2, 4), F.lit("00" * 56))
+    files = f.select(F.col("img_id").alias("file_id"), F.unhex(F.concat(head, jpeg, body)).alias("content"))
+    p = raw_files.read(files).where("error is null").select("img_id", "model", "xtrans", "width", F.posexplode("data").alias("i", "v"))
+    return p.select("img_id", "model", "xtrans", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), "v")
+
+
+@query
+def cmyk_fold(s, at):
+    p = d.read(s, at, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5 % 256).cast("int").alias("value"), (F.col("p_partkey") % 256).cast("int").alias("key"))
+    return p.select("id", "value", "key", planes.cmyk_to_rgb8(F.col("value"), F.col("key")).alias("folded"))
+
+
+@query
+def white_level(s, at):
+    return d.read(s, at, "part").select(F.col("p_partkey").alias("id"), white_of((F.col("p_size") % 20).cast("int")).alias("white"))
+
+
+@query
+def encode_defaults(s, at):
+    return formats.encode_defaults(s)
+
+
+@query
+def color_description(s, at):
+    p = d.read(s, at, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 13).cast("int").alias("primaries"), (F.col("p_partkey") % 14).cast("int").alias("transfer"))
+    return formats.color_name(p, "primaries", "transfer").select("id", "primaries", "transfer", "color")
+
+
 # --- metadata ------------------------------------------------------------------------------------
 
 
@@ -491,6 +542,20 @@ def metadata_merge(s, at):
     return metadata.merge([a, b]).select("id", "format", "lens", "bits")
 
 
+@query
+def embedded_exif(s, at):
+    """EXIF built from customers, put into PNG files and read from them."""
+    ship(s)
+
+    @F.pandas_udf("binary")
+    def png(name: pd.Series, key: pd.Series) -> pd.Series:
+        blank = codecs.encode_png(1, 1, np.zeros((1, 3), dtype=np.int32))
+        return pd.Series([embedded.with_png_blocks(blank, embedded.build_exif({"make": n, "model": f"m{k}", "iso": int(k), "exposure_time": {"num": int(k), "den": 125}, "orientation": int(k) % 8 + 1})) for n, k in zip(name, key, strict=True)])
+
+    c = d.read(s, at, "customer").select(F.col("c_custkey").alias("file_id"), png("c_name", "c_custkey").alias("content"))
+    return embedded.read(c).select(F.col("file_id").alias("id"), "make", "model", "iso", "orientation", F.col("exposure_time.num").alias("num"), F.col("exposure_time.den").alias("den"), F.size("extra").alias("entries"))
+
+
 @query
 def stream_probe(s, at):
     return probe_stream(s, at)

@@ -6,7 +6,7 @@ import math
 
 from . import demosaic_sql
 from .data.calibration import CAMERAS, CONSTANTS, ILLUMINANTS, XYZ_TO_SRGB
-from .data.formats import CODECS, EXTENSIONS, FORMATS
+from .data.formats import CODECS, COLOR_DESCRIPTIONS, ENCODE_DEFAULTS, EXTENSIONS, FORMATS
 
 GAINS = (2.35, 1.0, 1.65)
 MATRIX = [1.5, -0.375, -0.125, -0.25, 1.375, -0.125, 0.0625, -0.5, 1.4375]
@@ -359,12 +359,21 @@ SQL["format_by_extension"] = f"""WITH e(ext0, format) AS (VALUES {rows(EXTENSION
 SELECT file_id, ext, format FROM p LEFT JOIN e ON lower(ext) = ext0"""
 LONG = f"{RGB} SELECT img_id, x, y, CAST(c AS INTEGER) AS c, CAST({{e}} AS INTEGER) AS v FROM p CROSS JOIN (VALUES (0), (1), (2)) k(c)"
 PICK = "CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END"
-SQL["png_round_trip"] = SQL["ppm_round_trip"] = LONG.format(e=PICK)
+SQL["png_round_trip"] = SQL["ppm_round_trip"] = SQL["dng_linear_round_trip"] = LONG.format(e=PICK)
 SQL["png8_round_trip"] = LONG.format(e=f"({PICK}) // 256 * 257")
 SQL["dng_tags"] = f"WITH {RGBF} SELECT img_id AS file_id, 'ifd0' AS dir, CAST(tag AS INTEGER) AS tag, CAST(value AS BIGINT) AS value FROM rf CROSS JOIN (VALUES (256, 8), (257, 8), (262, 34892), (277, 3)) t(tag, value)"
 
+SQL["raf_decode"] = f"{PX} SELECT img_id, 'X-T5' AS model, true AS xtrans, x, y, v FROM px"
+SQL["cmyk_fold"] = "WITH q AS (SELECT p_partkey AS id, CAST(p_size * 5 % 256 AS INTEGER) AS value, CAST(p_partkey % 256 AS INTEGER) AS key FROM part) SELECT *, CAST(round(value * key / 255.0::DOUBLE) AS INTEGER) AS folded FROM q"
+SQL["white_level"] = "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 20 = 0 THEN 0 WHEN p_size % 20 >= 16 THEN 65535 ELSE (1 << CAST(p_size % 20 AS INTEGER)) - 1 END AS INTEGER) AS white FROM part"
+SQL["encode_defaults"] = f"SELECT * FROM (VALUES {rows(ENCODE_DEFAULTS)}) t(format, option, value)"
+NAMED = "n(color, p, t) AS (VALUES " + ", ".join(f"('{n}', {p}, {t})" for n, p, t in COLOR_DESCRIPTIONS) + ")"
+SQL["color_description"] = f"WITH {NAMED}, q AS (SELECT p_partkey AS id, CAST(p_size % 13 AS INTEGER) AS primaries, CAST(p_partkey % 14 AS INTEGER) AS transfer FROM part) SELECT id, primaries, transfer, coalesce(color, 'CICP') AS color FROM q LEFT JOIN n ON primaries = p AND transfer = t"
+
 # --- metadata
 
+SQL["embedded_exif"] = "SELECT c_custkey AS id, c_name AS make, 'm' || CAST(c_custkey AS VARCHAR) AS model, CAST(c_custkey AS BIGINT) AS iso, CAST(c_custkey % 8 + 1 AS BIGINT) AS orientation, CAST(c_custkey AS BIGINT) AS num, CAST(125 AS BIGINT) AS den, CAST(5 AS INTEGER) AS entries FROM customer"
+
 EAV = "t AS (SELECT user_id AS img_id, CAST(event_id % 5 AS INTEGER) AS dir, event_id AS seq, CASE event_type WHEN 'view' THEN 33434 WHEN 'click' THEN 33437 WHEN 'purchase' THEN 34855 WHEN 'signup' THEN 37386 ELSE 274 END AS tag, CAST(floor(value * 100.0::DOUBLE) AS BIGINT) AS num, CAST(CASE WHEN event_id % 50 = 7 THEN 0 ELSE 100 END AS BIGINT) AS den FROM events)"
 LAST = f"{EAV}, w AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY img_id, tag ORDER BY dir DESC, seq DESC) = 1)"
 RAT = "CASE WHEN den = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END"
