@@ -16,6 +16,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.operators import demosaic, pointwise, stencil
+from framequarry.plans.develop import Options
+from framequarry.plans.develop_frames import develop_frames
 from framequarry.registry import QUERIES
 from framequarry.sources import derived
 
@@ -55,7 +57,8 @@ def large_frames(spark: SparkSession):
     data = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: ((i * 7919 + F.col("id").cast("int") * 31) % 16384).cast("int"))
     f = spark.range(0, TILES, 1, TILES).select(
         F.col("id").alias("img_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit("RGGB").alias("cfa"), F.lit(16383).alias("white"),
-        F.array(*map(F.lit, derived.BLACK)).alias("black"), data.alias("data"),
+        F.array(*map(F.lit, derived.BLACK)).alias("black"), F.lit(0.0).alias("exposure"), F.lit(6).alias("orientation"), F.lit(5).alias("camera"),
+        F.array(F.lit(0.5), F.lit(1.0), F.lit(0.6)).alias("neutral"), data.alias("data"),
     )
     path = "/tmp/fq-bench-frames"
     f.write.mode("overwrite").parquet(path)
@@ -74,6 +77,8 @@ def main() -> None:
             "white_balance": lambda: pointwise.mosaic_white_balance(derived.pixels(f), F.lit(2.35), F.lit(1.0), F.lit(1.65)),
             "demosaic_bilinear": lambda: stencil.bilinear_demosaic(f),
             "demosaic_amaze": lambda: demosaic.demosaic(f, "amaze"),
+            "develop_frames_bilinear": lambda: develop_frames(f, Options(demosaic="bilinear")),
+            "develop_frames_auto": lambda: develop_frames(f),
         }
         rates = {n: round(megapixels / seconds(j, 2), 1) for n, j in jobs.items()}
     print(json.dumps({"metric": "image queries, sum of medians", "value": round(sum(got.values()), 3), "unit": "sec", "queries": got, "sf": SF_DIR.rsplit("sf", 1)[-1], "megapixels_per_sec": rates, "cpus": int(CPUS)}))

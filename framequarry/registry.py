@@ -16,6 +16,7 @@ from .operators import codecs, embedded, formats, geometry, lookup, metadata, pl
 from .operators import raw as raw_files
 from .operators import demosaic as dm
 from .plans.develop import Options, develop, develop_linear
+from .plans.develop_frames import develop_frames, to_pixels
 from .registry_sql import SQL
 from .ship import ship
 from .sources import derived as d
@@ -361,6 +362,14 @@ QUERIES["develop_auto"] = _develop(Options())
 QUERIES["develop_options"] = _develop(Options(demosaic="rcd", white_balance=GAINS, bad_pixels="median", denoise_sigma=0.6, ca=(1.01, 0.99), gamma=2.2, crop=(0, 0, 8, 6), rescale_white=True))
 
 
+def _develop_frames(options):
+    return lambda s, at: to_pixels(develop_frames(d.raw_frames(s, at), options))
+
+
+QUERIES["develop_frames_bilinear"] = _develop_frames(Options(demosaic="bilinear"))
+QUERIES["develop_frames_auto"] = _develop_frames(Options())
+
+
 @query
 def develop_linear_raw(s, at):
     p = d.rgb_pixels(s, at)

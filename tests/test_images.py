@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framequarry.functions.numeric import round_u16, trunc_u16, white_level
 from framequarry.operators import formats, geometry, metadata, pointwise, stencil
 from framequarry.plans.develop import Options, develop
+from framequarry.plans.develop_frames import develop_frames, to_pixels
 from framequarry.registry import QUERIES, SQL
 from framequarry.sources import derived
 
@@ -107,6 +108,16 @@ def test_development_options(spark):
         assert len(p) == 6 * 64 and all(0 <= v <= 65535 for r in p for v in (r.r, r.g, r.b))
 
 
+@pytest.mark.parametrize("o", [Options(demosaic="none"), Options(demosaic="lmmse", gamma=2.2, crop=(1, 1, 6, 6)), Options(demosaic="bilinear", bad_pixels="average", denoise_sigma=0.7, ca=(1.05, 0.97)), Options(demosaic="rcd", white_balance=(2.0, 1.0, 1.5), rescale_white=True, bad_pixels="median", color_matrix=(0.9, 0.1, 0, 0, 1, 0, 0.2, 0, 0.8))], ids=lambda o: o.demosaic)
+def test_whole_frames_develop_alike(spark, o):
+    f = derived.raw_frames(spark, SF).limit(40).withColumn("data", F.transform("data", lambda x, i: F.when(i == 27, F.lit(16383)).otherwise(x)))
+    f = spark.createDataFrame(f.collect(), f.schema)
+    want = {(r.img_id, r.x, r.y): (r.width, r.height, r.r, r.g, r.b) for r in develop(f, o).collect()}
+    got = {(r.img_id, r.x, r.y): (r.width, r.height, r.r, r.g, r.b) for r in to_pixels(develop_frames(f, o)).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(a - b) for k in got for a, b in zip(got[k], want[k], strict=True)) <= 1  # tables by numpy's pow and exp
+
+
 def test_unscaled_white_caps_the_demosaic(spark):
     f = derived.raw_frames(spark, SF).limit(4)
     flat = Options(color_matrix=(1.0, 0, 0, 0, 1, 0, 0, 0, 1), gamma=1.0)
