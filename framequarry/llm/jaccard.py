@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import BROADCAST_ROWS, checked, fresh, written
+from .common import BROADCAST_ROWS, checked, fresh, tidy, written
 
 WORDS, PERCENT = 5, 80
 BLOCK = 128
 LEAST_BITS = 1024  # of a bitmap
 TOP = 1 << 18  # frequent tokens that the order puts last; the order may be any, so this drops nothing
+CHUNK = 1_500_000  # tokens of which frequent ones are counted together
 GRID = 4096  # a token in more sets is dealt over a grid of this many sets a cell
 MAX_LIGHT = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -56,7 +57,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -168,11 +169,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tokens.append(t[off[i] : off[i + 1]])
                     held += key[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), pa.array(name)], names)
-            if held > 3_000_000:
+            if held > CHUNK:
                 yield frequent(tokens)
                 tokens, held = [], 0
     if held:
         yield frequent(tokens)
+    del tokens, seen
+    _words.clear()
+    tidy()
 
 
 class Order:
@@ -281,6 +285,8 @@ def _postings(order: Order):
                     ],
                     ["key", "name", "n", "bits"],
                 )
+        _words.clear()
+        tidy()
 
     return run
 
@@ -435,6 +441,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, off, _ = shingle_batch(part.column(1).to_pylist())
             values = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(t)])
             yield pa.RecordBatch.from_arrays([part.column(0), values.cast(pa.binary())], ["rep", "tokens"])
+    _words.clear()
+    tidy()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +450,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None
     for batch in batches:
         out = []
-        for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for k in range(batch.num_rows):
+            a, b, t = (batch.column(c)[k].as_py() for c in range(3))  # one set at a time: a batch may be large
             if held and held[:2] == (a, b):
                 x, y = np.frombuffer(held[2], dtype=U), np.frombuffer(t, dtype=U)
                 both = np.concatenate((x, y))
@@ -471,18 +480,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): root is the smallest node reached.
 
     Alternates large-star and small-star steps: every node's neighbours are linked to the smallest
-    of them. Each step is two aggregations and joins; its result is written to the shared folder.
+    of them. The smallest are written before they are joined, so that a node with a great many
+    neighbours is either met by a broadcast of known size or split like any skewed key.
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+
+    def smallest(rows: DataFrame) -> DataFrame:
+        """(_u, m): the least neighbour or itself, for each u of rows (u, v)."""
+        m = written(rows.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("_u"), F.least("u", "v").alias("m")), "least")
+        return checked(m, m.count())
+
     last = None
     while True:
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        e = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        large = both.where("v > u").join(smallest(both), F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
+        least = smallest(large)
+        small = large.join(least, F.col("u") == F.col("_u"))
+        e = written(small.select("v", "m").union(least.select("_u", "m")).toDF("a", "b").where("a <> b").distinct(), "edges")
+        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last or not state[0]:
             break
         last = state

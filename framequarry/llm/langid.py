@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .common import tidy
 
 DIMS, N, SEED = 512, 3, 20240229
 MAX_LANGUAGES = 4096
@@ -133,7 +134,7 @@ def _partial(dims: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space.of(dims, seed), {}
         for batch in batches:
-            for part in _chunks(batch, 1024):
+            for part in _chunks(batch, BATCH):
                 texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
                 of = {x: i for i, x in enumerate(dict.fromkeys(langs))}
                 unique, owner, gram = space.counts(texts)
@@ -150,6 +151,7 @@ def _partial(dims: int, seed: int):
                 [pa.array(np.repeat(langs, dims).tolist()), pa.array(np.tile(np.arange(dims), len(langs)), pa.int32()), pa.array(np.concatenate([sums[x] for x in langs]).round().astype(np.int64))],
                 ["lang", "dim", "v"],
             )
+        tidy()
 
     return run
 
@@ -227,12 +229,13 @@ def _keep(langs: list[str], protos: np.ndarray, dims: int, seed: int, at: int, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _chunks(batch, 1024):
+            for part in _chunks(batch, BATCH):
                 text = part.column(at)
                 (got,) = judge(iter([pa.RecordBatch.from_arrays([text], ["text"])]))
                 pred, score = got.column(0).to_pylist(), got.column(1).to_pylist()
                 far = [s < least and sum(map(str.isalpha, t or "")) >= letters for t, s in zip(text.to_pylist(), score, strict=True)]
                 yield part.filter(pa.array([p != "und" and not f for p, f in zip(pred, far, strict=True)], pa.bool_()))
+        tidy()
 
     return run
 

@@ -16,7 +16,7 @@ from array import array
 from itertools import chain
 from operator import itemgetter
 
-KEEP = 600_000  # pieces in each of the two tables a worker keeps: bounds its memory
+KEEP = 450_000  # pieces in each of the two tables a worker keeps: bounds its memory
 END = bytes(4)
 # The published pattern is: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 # Among the plain characters these are its classes.
