@@ -217,7 +217,7 @@ def _chi2_cdf(x: float, df: int) -> float:
     return 1 - total
 
 
-def judge(docs: DataFrame, tail: float = 2e-4, share: float = 0.75, steps: int = 4, min_rows: int = 100) -> DataFrame:
+def judge(docs: DataFrame, tail: float = 5e-4, share: float = 0.75, steps: int = 4, min_rows: int = 100) -> DataFrame:
     """doc_id, STATS, base_failed, distance, kept for every document.
 
     base_failed: fewer than 20 words, or more than 30% of the words in repeated windows. Such texts
