@@ -132,6 +132,7 @@ def _packer(tokenizer: str, block_tokens: int, context: int, least: int):
                         yield flush()
         if ids:
             yield flush()
+        encoder.rest()
 
     return run
 

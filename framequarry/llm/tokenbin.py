@@ -37,6 +37,7 @@ def _encode(tokenizer: str):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "n_tokens", "ids"]
                 )
+        encoder.rest()
 
     return run
 

@@ -16,6 +16,8 @@ from array import array
 from itertools import chain
 from operator import itemgetter
 
+from .common import tidy
+
 KEEP = 450_000  # pieces in each of the two tables a worker keeps: bounds its memory
 END = bytes(4)
 # The published pattern is: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
@@ -77,6 +79,11 @@ class Encoder:
             if p not in back:
                 known[p] = _packed([t.id for t in model(p.encode().decode("latin-1").translate(SIGNS))])
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps one table: other stages share its executor."""
+        self.older = {}
+        tidy()
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """A null text has no ids."""
         cut = [self.cut(t) if t and self.plain(t) else None for t in texts]
