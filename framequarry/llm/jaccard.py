@@ -38,6 +38,7 @@ WORDS, PERCENT = 5, 80
 BLOCK = 128
 LEAST_BITS = 1024  # of a bitmap
 TOP = 1 << 18  # frequent tokens that the order puts last; the order may be any, so this drops nothing
+DOCS = 128  # texts that are cut at a time
 CHUNK = 1_500_000  # tokens of which frequent ones are counted together
 GRID = 4096  # a token in more sets is dealt over a grid of this many sets a cell
 MAX_LIGHT = 64
@@ -122,7 +123,7 @@ def bitmaps(tokens: np.ndarray, off: np.ndarray, which: np.ndarray) -> list[byte
     out: list[bytes] = [b""] * len(which)
     for m in np.unique(bits).tolist():
         some = np.flatnonzero(bits == m)
-        step = max(1, (1 << 22) // m)
+        step = max(1, (1 << 20) // m)
         for a in range(0, len(some), step):
             part = some[a : a + step]
             sets = which[part]
@@ -159,8 +160,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     tokens, held, seen = [], 0, set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, DOCS):
+            part = batch.slice(at, DOCS)
             t, off, name = shingle_batch(part.column(1).to_pylist())
             n = np.diff(off)
             for i, key in enumerate(zip(n.tolist(), name.tolist(), strict=True)):
@@ -266,8 +267,8 @@ def _postings(order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                t, off, names = shingle_batch(batch.slice(at, 512).column(0).to_pylist())
+            for at in range(0, batch.num_rows, DOCS):
+                t, off, names = shingle_batch(batch.slice(at, DOCS).column(0).to_pylist())
                 n = np.diff(off)
                 want = np.zeros(len(n), dtype=bool)
                 for i, key in enumerate(zip(n.tolist(), names.tolist(), strict=True)):
@@ -345,6 +346,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = tuple(c[cut:] for c in cols)
     if rest is not None:
         yield from of_lists(*rest)
+    tidy()
 
 
 def near_pairs(n: np.ndarray, bits: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -378,66 +380,69 @@ def _find(parent: list[int], x: int) -> int:
 
 
 def _candidates(second: bool):
-    """From (t1, t2, rep, n, bits[, root]) sorted by tile: pairs (a, b) of rep to be compared exactly."""
+    """From (t1, t2, rep, n, bits[, root]) sorted by tile: pairs (a, b) of rep to be compared exactly, a < b."""
 
-    def of_tile(rep: list[int], n: list[int], bits: list[bytes], root: list[int | None]) -> list[tuple[int, int]]:
-        if len(rep) < 2 or second and len({r if x is None else x for r, x in zip(rep, root, strict=True)}) < 2:
-            return []
-        if len(rep) == 2:
-            m = min(map(len, bits))
+    def of_tile(rep: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray) -> np.ndarray:
+        if len(rep) < 2 or second and (root == root[0]).all():
+            return np.empty((0, 2), dtype=np.int64)
+        if len(rep) == 2:  # most tiles
+            m, total = min(map(len, bits)), int(n[0]) + int(n[1])
             one, other = (int.from_bytes(folded(x, m) if len(x) > m else x) for x in bits)
-            differ = max((one ^ other).bit_count(), abs(n[0] - n[1]))
-            pairs = [(0, 1)] if differ * (100 + PERCENT) <= (n[0] + n[1]) * (100 - PERCENT) else []
-        else:
-            i, j = near_pairs(np.array(n, dtype=np.int64), bits)
-            pairs = list(zip(i.tolist(), j.tolist(), strict=True))
+            near = max((one ^ other).bit_count(), abs(int(n[0]) - int(n[1]))) * (100 + PERCENT) <= total * (100 - PERCENT)
+            return np.sort(rep)[None] if near else np.empty((0, 2), dtype=np.int64)
+        pairs = np.stack(near_pairs(n.astype(np.int64), bits), axis=1)
         if second:
-            group = [r if x is None else x for r, x in zip(rep, root, strict=True)]
-            pairs = [(i, j) for i, j in pairs if group[i] != group[j]]
+            pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
         else:
             parent, forest = list(range(len(rep))), []
-            for i, j in pairs:
+            for i, j in pairs.tolist():
                 a, b = _find(parent, i), _find(parent, j)
                 if a != b:
                     parent[b] = a
                     forest.append((i, j))
-            pairs = forest
-        return [(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in pairs]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out, seen = None, [], [], set()
+            pairs = np.array(forest, dtype=np.int64).reshape(-1, 2)
+        return np.sort(rep[pairs], axis=1)
 
-        def close() -> None:
-            if len(rows) > 1:
-                for p in of_tile(*(list(c) for c in zip(*rows, strict=True))):
-                    if p not in seen:
-                        seen.add(p)
-                        out.append(p)
-            rows.clear()
+    def batch_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, i])) for i in (0, 1)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the last tile, which may go on in the next batch
+        found, size = [], 0
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols, *([] if second else [[None] * batch.num_rows]), strict=True):
-                if row[:2] != now:
-                    close()
-                    now = row[:2]
-                rows.append(row[2:])
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            tile = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            rep, n, bits = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            root = pc.coalesce(batch.column(5), batch.column(2)).to_numpy() if second else rep
+            edges = [0, *(np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1).tolist(), len(rep)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(tile[a].tolist())
+                if held and held[0] == now:
+                    held = (now, np.concatenate((held[1], rep[a:b])), np.concatenate((held[2], n[a:b])), held[3] + bits[a:b], np.concatenate((held[4], root[a:b])))
+                    continue
+                if held:
+                    found.append(of_tile(*held[1:]))
+                    size += len(found[-1])
+                held = (now, rep[a:b], n[a:b], bits[a:b], root[a:b])
+                if size > 200_000:
+                    yield batch_of(found)
+                    found, size = [], 0
+        if held:
+            found.append(of_tile(*held[1:]))
+        if found:
+            yield batch_of(found)
+        del held, found
+        tidy()
 
     return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, DOCS):
+            part = batch.slice(at, DOCS)
             t, off, _ = shingle_batch(part.column(1).to_pylist())
             values = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(t)])
             yield pa.RecordBatch.from_arrays([part.column(0), values.cast(pa.binary())], ["rep", "tokens"])
