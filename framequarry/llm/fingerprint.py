@@ -21,7 +21,7 @@ CHECK, CHECK_BITS = 4, 48
 NEAR_WORDS = 64  # longs that hold two lanes each
 _PAIR = (1 << 32) | 1
 _LOW = (1 << 32) - 1
-SENTENCE = r"\n|(?<=[.!?,;:|d])\x20+"  # pieces of a paragraph; where one ends depends on what is there, so an edit stays local
+SENTENCE = r"\n|(?<=[.!?,;:|%$#*&n])\x20+"  # pieces of a paragraph; where one ends depends on what is there, so an edit stays local
 
 
 def vector(text: Column) -> Column:
