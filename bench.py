@@ -15,7 +15,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.operators import demosaic, pointwise, stencil
+from framequarry.operators import demosaic, pointwise
 from framequarry.plans.develop import Options
 from framequarry.plans.develop_frames import develop_frames
 from framequarry.registry import QUERIES
@@ -54,7 +54,7 @@ def seconds(df, runs: int = 3) -> float:
 
 def large_frames(spark: SparkSession):
     """TILES frames of 1000 x 1000 samples from a rule, in as many partitions."""
-    data = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: ((i * 7919 + F.col("id").cast("int") * 31) % 16384).cast("int"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: ((i.cast("long") * 7919 + F.col("id") * 31) % 16384).cast("int"))
     f = spark.range(0, TILES, 1, TILES).select(
         F.col("id").alias("img_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit("RGGB").alias("cfa"), F.lit(16383).alias("white"),
         F.array(*map(F.lit, derived.BLACK)).alias("black"), F.lit(0.0).alias("exposure"), F.lit(6).alias("orientation"), F.lit(5).alias("camera"),
@@ -75,7 +75,6 @@ def main() -> None:
         jobs = {
             "black_level": lambda: pointwise.black_level(derived.pixels(f)),
             "white_balance": lambda: pointwise.mosaic_white_balance(derived.pixels(f), F.lit(2.35), F.lit(1.0), F.lit(1.65)),
-            "demosaic_bilinear": lambda: stencil.bilinear_demosaic(f),
             "demosaic_amaze": lambda: demosaic.demosaic(f, "amaze"),
             "develop_frames_bilinear": lambda: develop_frames(f, Options(demosaic="bilinear")),
             "develop_frames_auto": lambda: develop_frames(f),
