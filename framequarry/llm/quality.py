@@ -2,7 +2,8 @@
 
 Statistics of each text are turned into a vector. For every (language, source) the rows of the h
 smallest distances define the next centre and covariance (a C-step), from medians on, until few
-steps are done; a text is rejected if its Mahalanobis distance to the result is beyond a quantile.
+steps are done; a text is rejected if its Mahalanobis distance to the result is beyond a quantile that follows from
+the distances of its group's bulk.
 All steps are aggregations over all rows; nothing is sampled, and the driver sees no group.
 """
 
@@ -26,10 +27,7 @@ SYMBOLS = b"#*$%&|<>"
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_punct bigint"
 NAMES = [x.split()[0] for x in STATS.split(", ")]
 WINDOW = 8
-#: Of each coordinate: the least standard deviation that a covariance may have. Without it, a statistic that is
-#: 0 for nearly all texts would make every other value an outlier.
-FLOORS = [0.12, 0.06, 0.12, 0.12, 0.10, 0.08]
-P = len(FLOORS)
+P = 6
 UPPER = bytes(range(0x41, 0x5B))
 PUNCT = b"!?.,;:"
 
@@ -115,17 +113,30 @@ def vector() -> list[Column]:
     ]
 
 
+def noise() -> list[Column]:
+    """Of each coordinate, the variance that chance alone gives it in a text of this size.
+
+    The root of a share c / n has variance k / 4n if counts come k at a time: symbols and repeated lines one by one,
+    repeated words by two windows or more. The other coordinates are 0 in no text and have a spread of their own;
+    a hundredth stands for them, against groups of equal texts.
+    """
+    of = lambda c, more, k: F.lit(k / 4) / (F.col(c) + F.lit(float(more)))
+    return [of("word_chars", 50, 0.01), of("word_chars", 100, 1), of("n_lines", 5, 1), of("n_words", 50, 2 * WINDOW), of("word_chars", 160, 0.01), of("word_chars", 160, 0.01)]
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 X = [f"_x{i}" for i in range(P)]
+E = [f"_e{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 MODEL = "_l string, _s string, _n bigint, " + ", ".join(f"_m{i} double" for i in range(P)) + ", " + ", ".join(f"_i{i}{j} double" for i, j in PAIRS)
 
 
 def _sums() -> list[Column]:
-    return [F.count(F.lit(1)).alias("_n"), *[F.sum(X[i]).alias(f"_s{i}") for i in range(P)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"_q{i}{j}") for i, j in PAIRS]]
+    squares = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"_q{i}{j}") for i, j in PAIRS]
+    return [F.count(F.lit(1)).alias("_n"), *[F.sum(X[i]).alias(f"_s{i}") for i in range(P)], *squares, *[F.sum(e).alias(e) for e in E]]
 
 
 def chi2_quantile(p: float, df: int) -> float:
@@ -135,13 +146,22 @@ def chi2_quantile(p: float, df: int) -> float:
     return df * (1 - 2 / (9 * df) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * df))) ** 3
 
 
-def _inverse(n: float, sums: list[float], squares: list[float], scale: float) -> list[float]:
-    """Centre, and upper triangle of the inverse of the covariance with its floors."""
-    m = np.array(sums) / n
+def _inverse(n: float, sums: list[float], scale: float) -> list[float]:
+    """Centre, and upper triangle of the inverse of the covariance, of sums in the order of ``_sums``.
+
+    A coordinate whose fitted variance is below its noise (it is 0 in nearly all texts) has the noise
+    for its variance and no covariance; all others have what was fitted. A thousandth off the
+    correlations keeps a matrix of equal coordinates invertible.
+    """
+    m, squares, e = np.array(sums[:P]) / n, sums[P : P + len(PAIRS)], np.array(sums[P + len(PAIRS) :]) / n
     c = np.zeros((P, P))
     for (i, j), q in zip(PAIRS, squares, strict=True):
-        c[i, j] = c[j, i] = q / n - m[i] * m[j]
-    c = c * scale + np.diag(np.square(FLOORS))
+        c[i, j] = c[j, i] = (q / n - m[i] * m[j]) * scale
+    least = np.maximum(e, 1e-9)
+    few = np.diag(c) < least
+    c[few, :] = c[:, few] = 0.0
+    c = 0.999 * c + 0.001 * np.diag(np.diag(c))
+    c[few, few] = least[few]
     inv = np.linalg.inv(c)
     return [*m.tolist(), *[float(inv[i, j]) for i, j in PAIRS]]
 
@@ -153,7 +173,7 @@ def _fit(pooled: list[float], min_rows: int, scale: float):
             rows = []
             for r in f.itertuples(index=False):
                 v = [float(x or 0) for x in r[3:]]
-                rows.append([r[0], r[1], int(r[2]), *(_inverse(r[2], v[:P], v[P:], scale) if r[2] >= min_rows else pooled)])
+                rows.append([r[0], r[1], int(r[2]), *(_inverse(r[2], v, scale) if r[2] >= min_rows else pooled)])
             yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -165,11 +185,11 @@ def _distance() -> Column:
 
 
 def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, min_rows: int = 100) -> tuple[DataFrame, int]:
-    """(model, its rows): centre and inverse covariance of each group, of rows (_l, _s, _x0 ...).
+    """(model, its rows): centre and inverse covariance of each group, of rows (_l, _s, _x0 ..., _e0 ...).
 
     Starts from the median and its deviation in each coordinate. In a step, a histogram of the
     distances gives the value below which ``share`` of the group lies, and sums of the rows below it give
-    the next estimate. Groups of fewer than ``min_rows`` rows share the estimate of all rows.
+    the next estimate. _e0 ... are the coordinates' noise, 0 if not given. Groups of fewer than ``min_rows`` rows share the estimate of all rows.
     """
     n_groups = 0
 
@@ -179,19 +199,20 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, min_rows: int = 10
         total = sums.agg(F.count(F.lit(1)).alias("g"), *[F.sum(c).alias(c) for c in sums.columns[2:]]).first()
         n_groups = total["g"]
         v = [float(x or 0) for x in total[2:]]
-        pooled = _inverse(total["_n"], v[:P], v[P:], scale) if (total["_n"] or 0) > P else [0.0] * (P + len(PAIRS))
+        pooled = _inverse(total["_n"], v, scale) if (total["_n"] or 0) > P else [0.0] * (P + len(PAIRS))
         return written(sums.mapInPandas(_fit(pooled, min_rows, scale), MODEL), "model")
 
     ship(rows.sparkSession)
+    rows = rows.withColumns({e: F.lit(0.0) for e in E if e not in rows.columns})
     mid = rows.groupBy("_l", "_s").agg(*[F.percentile_approx(x, 0.5, 100_000).alias(f"_c{x}") for x in X])
     mid = written(mid, "medians")
     near = rows.join(checked(mid, mid.count()), ["_l", "_s"])
-    off = near.groupBy("_l", "_s").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"_c{x}")), 0.5, 100_000).alias(f"_d{x}") for x in X], *[F.first(f"_c{x}").alias(f"_c{x}") for x in X], F.count(F.lit(1)).alias("_n"))
+    off = near.groupBy("_l", "_s").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"_c{x}")), 0.5, 100_000).alias(f"_d{x}") for x in X], *[F.first(f"_c{x}").alias(f"_c{x}") for x in X], F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(e) for e in E])
     # sums as rows of those medians and 1.4826 times those deviations would give
     sd = {x: F.col(f"_d{x}") * F.lit(1.4826) for x in X}
     start = off.select(
         "_l", "_s", "_n", *[(F.col("_n") * F.col(f"_c{x}")).alias(f"_s{i}") for i, x in enumerate(X)],
-        *[(F.col("_n") * (F.col(f"_c{X[i]}") * F.col(f"_c{X[j]}") + (sd[X[i]] * sd[X[j]] if i == j else F.lit(0.0)))).alias(f"_q{i}{j}") for i, j in PAIRS],
+        *[(F.col("_n") * (F.col(f"_c{X[i]}") * F.col(f"_c{X[j]}") + (sd[X[i]] * sd[X[j]] if i == j else F.lit(0.0)))).alias(f"_q{i}{j}") for i, j in PAIRS], *E,
     )
     now = model(start, 1.0)
     upto = Window.partitionBy("_l", "_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
@@ -199,7 +220,7 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, min_rows: int = 10
     # what the covariance of the nearest share lacks against that of all, for a normal distribution of P coordinates
     scale = share / _chi2_cdf(chi2_quantile(share, P), P + 2)
     for _ in range(steps):
-        d = rows.join(checked(now.drop("_n"), n_groups), ["_l", "_s"]).withColumn("_k", F.floor(F.log(F.least(F.greatest(_distance(), F.lit(1e-9)), F.lit(1e12))) * 32).cast("int")).select("_l", "_s", *X, "_k")
+        d = rows.join(checked(now.drop("_n"), n_groups), ["_l", "_s"]).withColumn("_k", F.floor(F.log(F.least(F.greatest(_distance(), F.lit(1e-9)), F.lit(1e12))) * 32).cast("int")).select("_l", "_s", *X, *E, "_k")
         counts = d.groupBy("_l", "_s", "_k").agg(F.count(F.lit(1)).alias("_c"))
         counts = counts.withColumns({"_u": F.sum("_c").over(upto), "_t": F.sum("_c").over(whole)})
         edge = counts.where(F.col("_u") >= F.ceil(F.lit(share) * F.col("_t"))).groupBy("_l", "_s").agg(F.min("_k").alias("_e"))
@@ -208,6 +229,27 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, min_rows: int = 10
     return now, n_groups
 
 
+def limits(rows: DataFrame, model: DataFrame, n: int, tail: float, min_rows: int) -> DataFrame:
+    """model with _far, the largest squared distance that is no outlier, from the distances of the group's own rows.
+
+    The cube root of a squared distance is near normal whatever the number of coordinates that count (Wilson and
+    Hilferty). Its median and upper quartile, which a quarter of outliers does not move beyond those of the rest, give
+    mean and deviation, and so the quantile that leaves ``tail``; the chi-squared one is the least. Groups that share an
+    estimate share a limit.
+    """
+    from statistics import NormalDist
+
+    own = F.col("_n") >= min_rows
+    model = model.withColumns({"_gl": F.when(own, F.col("_l")), "_gs": F.when(own, F.col("_s"))})
+    d = rows.join(checked(model, n), ["_l", "_s"]).select("_gl", "_gs", F.cbrt(F.greatest(_distance(), F.lit(0.0))).alias("_r"))
+    q = d.groupBy("_gl", "_gs").agg(F.percentile_approx("_r", [0.5, 0.75], 100_000).alias("_q"))
+    z = NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(0.75)
+    far = F.pow(F.col("_q")[0] + F.lit(z) * (F.col("_q")[1] - F.col("_q")[0]), F.lit(3.0))
+    q = written(q.select(F.col("_gl").alias("_hl"), F.col("_gs").alias("_hs"), F.greatest(far, F.lit(chi2_quantile(1 - tail, P))).alias("_far")), "limits")
+    same = F.col("_gl").eqNullSafe(F.col("_hl")) & F.col("_gs").eqNullSafe(F.col("_hs"))
+    return model.join(checked(q, n), same).drop("_gl", "_gs", "_hl", "_hs")
+
+
 def _chi2_cdf(x: float, df: int) -> float:
     """For even df."""
     term = total = math.exp(-x / 2)
@@ -221,17 +263,18 @@ def judge(docs: DataFrame, tail: float = 5e-4, share: float = 0.75, steps: int =
     """doc_id, STATS, base_failed, distance, kept for every document.
 
     base_failed: fewer than 20 words, or more than 30% of the words in repeated windows. Such texts
-    are not fitted and not kept. Others are kept unless their distance is beyond the quantile that
-    leaves ``tail``. Null text has no words; null language and source are values of their own; groups that are too
+    are not fitted and not kept. Others are kept unless their distance is beyond the limit that leaves ``tail`` of
+    their group's distances, as their bulk has them (``limits``). Null text has no words; null language and source are values of their own; groups that are too
     small share one estimate, and with too few rows for that all others are kept. Repeated rows
     count each. Texts are read once and not shuffled; later steps use the statistics.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     stats = statistics(docs)
-    rows = stats.select("doc_id", key("lang").alias("_l"), key("source").alias("_s"), *NAMES, base_failed().alias("base_failed"), *[v.alias(x) for x, v in zip(X, vector(), strict=True)])
+    rows = stats.select("doc_id", key("lang").alias("_l"), key("source").alias("_s"), *NAMES, base_failed().alias("base_failed"), *[v.alias(x) for x, v in zip(X + E, vector() + noise(), strict=True)])
     rows = written(rows, "stats")
-    model, n = fit(rows.where(~F.col("base_failed")).select("_l", "_s", *X), share, steps, min_rows)
-    limit = chi2_quantile(1 - tail, P)
+    fitted = rows.where(~F.col("base_failed"))
+    model, n = fit(fitted.select("_l", "_s", *X, *E), share, steps, min_rows)
+    model = written(limits(fitted.select("_l", "_s", *X), model, n, tail, min_rows), "limited")
     out = rows.join(checked(model.drop("_n"), n), ["_l", "_s"], "left").withColumn("_d", _distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= F.lit(limit), F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= F.col("_far"), F.lit(True))
     return out.select("doc_id", *NAMES, "base_failed", F.sqrt(F.greatest("_d", F.lit(0.0))).alias("distance"), kept.alias("kept"))

@@ -137,6 +137,17 @@ def test_minimum_determinant_ignores_contamination(spark):
     assert np.allclose([model.first()[f"_m{i}"] for i in range(quality.P)], 0.3, atol=0.01)
 
 
+def test_fitted_spread_decides_unless_degenerate(spark):
+    rng = np.random.default_rng(1)
+    x, zero = rng.normal(0.3, 0.02, (1000, quality.P)), 2
+    x[:, zero] = 0.0
+    names = ", ".join(f"{c} double" for c in quality.X + quality.E)
+    rows = spark.createDataFrame([("", "", *map(float, v), *[0.01**2] * quality.P) for v in x], "_l string, _s string, " + names)
+    model = quality.fit(rows)[0].first()
+    sd = [model[f"_i{i}{i}"] ** -0.5 for i in range(quality.P)]
+    assert np.allclose(sd, [0.01 if i == zero else 0.02 for i in range(quality.P)], rtol=0.2)
+
+
 def test_quality_odd(odd, none):
     got = quality.judge(odd).collect()
     assert len(got) == len(ODD)
