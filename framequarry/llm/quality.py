@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,10 @@ from ..ship import ship
 from .common import checked, written
 
 SYMBOLS = b"#*$%&|<>"
-STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_punct bigint"
+STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_punct bigint, n_adjacent bigint"
 NAMES = [x.split()[0] for x in STATS.split(", ")]
 WINDOW = 8
-P = 6
+P = 7
 UPPER = bytes(range(0x41, 0x5B))
 PUNCT = b"!?.,;:"
 
@@ -70,7 +71,7 @@ def text_stats(texts: list[str | None]) -> list[np.ndarray]:
         words = b.split()  # bytes.split cuts at exactly space and \x09 to \x0d
         lines = [x for x in b.split(b"\n") if x.strip()]
         drop = lambda chars: len(b) - len(b.translate(None, chars))  # noqa: E731, B023
-        rows.append((len(words), len(t or "") - drop(b" \t\n\r\x0b\x0c"), drop(SYMBOLS), len(lines), len(lines) - len(set(lines)), 0, drop(UPPER), drop(PUNCT)))
+        rows.append((len(words), len(t or "") - drop(b" \t\n\r\x0b\x0c"), drop(SYMBOLS), len(lines), len(lines) - len(set(lines)), 0, drop(UPPER), drop(PUNCT), sum(map(eq, words, words[1:]))))
         ids.extend([known.setdefault(w, len(known)) for w in words])
         lens.append(len(words))
     cols = [np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * len(NAMES)
@@ -96,7 +97,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics: mean word length, and shares of symbols, repeated lines, repeated words, capitals and punctuation.
+    """The transformed statistics: mean word length, and shares of symbols, repeated lines, repeated words, capitals, punctuation and words equal to the one before.
 
     A square root steadies shares near 0. Added counts draw short texts to the middle, since their
     shares vary most. Length itself is no sign of quality and is left out.
@@ -110,18 +111,19 @@ def vector() -> list[Column]:
         share("n_repeat_words", F.col("n_words") + F.lit(50.0)),
         F.sqrt((F.col("n_upper") + F.lit(4.0)) / (F.col("word_chars") + F.lit(160.0))),
         F.sqrt((F.col("n_punct") + F.lit(4.0)) / (F.col("word_chars") + F.lit(160.0))),
+        share("n_adjacent", F.col("n_words") + F.lit(50.0)),
     ]
 
 
 def noise() -> list[Column]:
     """Of each coordinate, the variance that chance alone gives it in a text of this size.
 
-    The root of a share c / n has variance k / 4n if counts come k at a time: symbols and repeated lines one by one,
-    repeated words by two windows or more. The other coordinates are 0 in no text and have a spread of their own;
+    The root of a share c / n has variance k / 4n if counts come k at a time: symbols, repeated lines and equal neighbours one
+    by one, repeated words by two windows or more. The other coordinates are 0 in no text and have a spread of their own;
     a hundredth stands for them, against groups of equal texts.
     """
     of = lambda c, more, k: F.lit(k / 4) / (F.col(c) + F.lit(float(more)))
-    return [of("word_chars", 50, 0.01), of("word_chars", 100, 1), of("n_lines", 5, 1), of("n_words", 50, 2 * WINDOW), of("word_chars", 160, 0.01), of("word_chars", 160, 0.01)]
+    return [of("word_chars", 50, 0.01), of("word_chars", 100, 1), of("n_lines", 5, 1), of("n_words", 50, 2 * WINDOW), of("word_chars", 160, 0.01), of("word_chars", 160, 0.01), of("n_words", 50, 1)]
 
 
 def base_failed() -> Column:
@@ -251,12 +253,15 @@ def limits(rows: DataFrame, model: DataFrame, n: int, tail: float, min_rows: int
 
 
 def _chi2_cdf(x: float, df: int) -> float:
-    """For even df."""
-    term = total = math.exp(-x / 2)
-    for k in range(1, df // 2):
-        term *= x / 2 / k
+    """By the series of the lower incomplete gamma function."""
+    a, h = df / 2, x / 2
+    term = total = math.exp(a * math.log(h) - h - math.lgamma(a + 1)) if h > 0 else 0.0
+    k = 1
+    while term > 1e-16 * total:
+        term *= h / (a + k)
         total += term
-    return 1 - total
+        k += 1
+    return total
 
 
 def judge(docs: DataFrame, tail: float = 5e-4, share: float = 0.75, steps: int = 4, min_rows: int = 100) -> DataFrame:

@@ -148,6 +148,19 @@ def test_fitted_spread_decides_unless_degenerate(spark):
     assert np.allclose(sd, [0.01 if i == zero else 0.02 for i in range(quality.P)], rtol=0.2)
 
 
+def test_words_repeated_at_once_are_rejected(spark):
+    rng = random.Random(6)
+    pool = [a + b for a in ("la", "ri", "mo", "te", "su") for b in ("ke", "ver", "n", "sto", "del", "p")]
+    clean = lambda: " ".join(rng.choice(pool) for _ in range(rng.randint(40, 200)))
+    runs = lambda: " ".join(w for _ in range(30) for w in [rng.choice(pool)] * rng.randint(3, 6))
+    rows = [(i, runs() if i % 20 == 0 else clean(), "en", "a") for i in range(400)]
+    got = quality.judge(docs(spark, rows)).collect()
+    assert sum(not r.base_failed for r in got if r.doc_id % 20 == 0) >= 10
+    assert all(not r.kept for r in got if r.doc_id % 20 == 0)
+    assert sum(not r.kept for r in got if r.doc_id % 20) <= 4
+    assert abs(quality._chi2_cdf(6.3458, 7) - 0.5) < 1e-4
+
+
 def test_quality_odd(odd, none):
     got = quality.judge(odd).collect()
     assert len(got) == len(ODD)
