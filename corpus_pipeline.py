@@ -19,8 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their sources' boilerplate lines; n_chars follows the text."""
-    clean = linededup.drop_boilerplate(docs)
+    """All documents, without their sources' boilerplate lines; n_chars follows the text.
+
+    A line counts once for a group of near copies: those are left whole to the next stage.
+    """
+    clean = linededup.drop_boilerplate(docs, one_of_each=jaccard.one_of_each)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 

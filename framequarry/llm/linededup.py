@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
+def _lines() -> Column:
+    """Hashes of the distinct lines of a text."""
+    return F.array_distinct(F.transform(F.filter(F.transform(F.split(F.col("text"), "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)))
+
+
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_pages: int = 5) -> DataFrame:
     """(host, lines: array<bigint>): hashes of the boilerplate lines of each host that has any.
 
@@ -20,23 +27,47 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_
     host with m lines a page has at most m / ratio such lines, so the array is bounded by page
     length, not by the number of pages. Counts are pre-aggregated before the shuffle.
     """
-    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.col("text"), "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    per_page = docs.select(F.col(host).alias("h"), lines.alias("ls"))
+    per_page = docs.select(F.col(host).alias("h"), _lines().alias("ls"))
     pages = docs.groupBy(F.col(host).alias("hp")).agg(F.count(F.lit(1)).alias("pages"))
     counts = per_page.select("h", F.explode("ls").alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     over = counts.join(pages, F.col("h").eqNullSafe(F.col("hp"))).where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return over.groupBy("h").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_pages: int = 5, dropped: str | None = None) -> DataFrame:
+def spared(docs: DataFrame, bad: DataFrame, one_of_each: Callable[[DataFrame], DataFrame], host: str = "source", ratio: float = 0.02, min_pages: int = 5) -> DataFrame:
+    """bad without the lines that are over the bounds only because near copies of a page repeat them.
+
+    Pages that have a line of bad are cut down to one of each group of near copies, and the bounds are
+    asked again: of those pages, and of all the host's pages less the copies found. Only pages with such
+    lines are compared, and nothing is added to bad.
+    """
+    size = bad.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
+    side = checked(bad.select(F.col("h").alias("_fq_h"), F.col("lines").alias("_fq_lines")), sum(size))
+    have = written(docs.join(side, docs[host].eqNullSafe(side["_fq_h"])).where(F.arrays_overlap(_lines(), F.col("_fq_lines"))).select(*[docs[c] for c in docs.columns]), "have")
+    ones = written(one_of_each(have), "ones")
+    count = lambda df, n: df.groupBy(F.col(host).alias(f"_{n}")).agg(F.count(F.lit(1)).alias(n))
+    n_all, n_have, n_ones = count(docs, "n_all"), count(have, "n_have"), count(ones, "n_ones")
+    pages = n_all.join(n_have, F.col("_n_all").eqNullSafe(F.col("_n_have"))).join(n_ones, F.col("_n_all").eqNullSafe(F.col("_n_ones")))
+    pages = pages.select(F.col("_n_all").alias("hp"), (F.col("n_all") - F.col("n_have") + F.col("n_ones")).alias("pages"))
+    again = ones.select(F.col(host).alias("h"), F.explode(_lines()).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    over = again.join(pages, F.col("h").eqNullSafe(F.col("hp"))).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("h", "line")
+    was = bad.select(F.col("h").alias("_fq_h"), F.explode("lines").alias("_fq_line"))
+    still = over.join(was, F.col("h").eqNullSafe(F.col("_fq_h")) & (F.col("line") == F.col("_fq_line")), "left_semi")
+    return written(still.groupBy("h").agg(F.collect_list("line").alias("lines")), "spared")
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_pages: int = 5, dropped: str | None = None, one_of_each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of text; all rows and columns stay.
 
     A page whose every line with a word is boilerplate keeps them all: it is a copy of a page, which
     is for document dedup, and dropping it here would lose its content altogether. Null text stays
     null, empty text empty; a null host is a host of its own. ``dropped`` names a column for the
-    number of lines taken out. Texts are not shuffled while the hosts' lists can be broadcast.
+    number of lines taken out. With ``one_of_each``, which leaves one page of each group of near copies, a
+    line counts once for such a group (``spared``). Texts are not shuffled while the hosts' lists can be broadcast.
     """
     bad = written(boilerplate(docs, host, ratio, min_pages), "boilerplate")
+    if one_of_each is not None:
+        bad = spared(docs, bad, one_of_each, host, ratio, min_pages)
     lines, n = bad.select(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
     b, k = fresh(docs, "_fq_bad"), fresh(docs, "_fq_host")
     bad = bad.select(F.col("h").alias(k), F.col("lines").alias(b))

@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables: what each stage keeps, and that it ends in packed pieces."""
 
+import random
+
 import corpus_pipeline
 from framequarry.llm import jaccard
 from framequarry.llm.common import table
@@ -24,3 +26,19 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[:2] == ["doc_id", "start"]
+
+
+def test_near_copies_keep_their_lines_until_they_are_one(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(12))
+    group = [line() for _ in range(40)]
+    pages = ["\n".join([*group[: k % 40], line(), *group[k % 40 + 1 :]]) for k in range(60)]
+    site = ["\n".join(["menu of the site", *[line() for _ in range(6)]]) for _ in range(240)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(pages + site)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clean = corpus_pipeline.written(corpus_pipeline.lines(spark, docs, SF), "lines")
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert all(got[i] == t for i, t in enumerate(pages))
+    assert all("menu" not in got[60 + i] for i in range(240))
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, clean, SF).collect()}
+    assert left == {0, *range(60, 300)}
