@@ -14,11 +14,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..ship import ship
-from .tokens import END, Encoder
+from .tokens import Encoder, slices
 
 CONTEXT = 1024
 LEAST = 64
@@ -95,13 +96,13 @@ def _packer(tokenizer: str, block_tokens: int, context: int, least: int):
 
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         ids: list[int | None] = []
-        tokens: list[bytes] = []
+        tokens: list[np.ndarray] = []
         size = windows_before = groups_before = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size, windows_before, groups_before
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-            windows = pack_block([len(tokens[i]) // 4 for i in order], context, least)
+            windows = pack_block([len(tokens[i]) for i in order], context, least)
             groups = step_groups(windows, 16 * context)
             cols: list[list] = [[] for _ in range(9)]
             for k, (tier, pieces) in enumerate(windows):
@@ -109,7 +110,7 @@ def _packer(tokenizer: str, block_tokens: int, context: int, least: int):
                 for d, start, length in pieces:
                     i = order[d]
                     b = tokens[i]
-                    row = (ids[i], start, length, zlib.crc32(memoryview(b)[4 * start : 4 * (start + length)]), len(b) // 4, (part << 40) + windows_before + k, offset, tier, (part << 40) + groups_before + groups[k])
+                    row = (ids[i], start, length, zlib.crc32(b[start : start + length]), len(b), (part << 40) + windows_before + k, offset, tier, (part << 40) + groups_before + groups[k])
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                     offset += length
@@ -122,17 +123,16 @@ def _packer(tokenizer: str, block_tokens: int, context: int, least: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "tier" else pa.int64()) for n, c in zip(names, cols, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, b in zip(some.column(0).to_pylist(), encoder.encode_many(some.column(1).to_pylist()), strict=True):
+            for some in slices(batch, 1):
+                values, ends = encoder.encode(some.column(1))
+                for doc, a, e in zip(some.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     ids.append(doc)
-                    tokens.append(b + END)
-                    size += len(tokens[-1]) // 4
+                    tokens.append(values[a:e])
+                    size += e - a
                     if size >= block_tokens:
                         yield flush()
         if ids:
             yield flush()
-        encoder.rest()
 
     return run
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..ship import ship
 from .common import fresh_path
-from .tokens import END, Encoder
+from .tokens import Encoder, slices
 
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
@@ -29,15 +29,10 @@ def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [b + END for b in encoder.encode_many(part.column(1).to_pylist())]
-                ends = np.cumsum([0] + [len(b) // 4 for b in got]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(got))])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "n_tokens", "ids"]
-                )
-        encoder.rest()
+            for part in slices(batch, 1):
+                ids, ends = encoder.encode(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), lists], ["doc_id", "n_tokens", "ids"])
 
     return run
 

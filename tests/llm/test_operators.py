@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from framequarry.llm import fingerprint, jaccard, langid, linededup, mixing, packing, quality, sharding, tokenbin, tokens, urltrie
 from framequarry.llm.registry import tokenizer
@@ -343,7 +345,7 @@ def test_step_groups_are_even():
 
 
 def check_pieces(rows, pieces):
-    e = tokens.Encoder.of(tokenizer())
+    library = Tokenizer.from_file(tokenizer())
     sequences, texts = defaultdict(list), defaultdict(list)
     for p in pieces:
         sequences[p.sequence_id].append((p.offset, p.length))
@@ -355,7 +357,7 @@ def check_pieces(rows, pieces):
             at += length
         assert at <= 1024
     for i, t, *_ in rows:
-        b = np.array([*e.library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        b = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         got = sorted(texts[i], key=lambda p: p.start)
         assert sum(p.length for p in got) == len(b) // 4 * sum(r[0] == i for r in rows)
         assert all(p.ids_crc32 == zlib.crc32(b[4 * p.start : 4 * (p.start + p.length)]) and p.doc_tokens == len(b) // 4 for p in got)
@@ -519,30 +521,46 @@ def test_shards_and_slots(spark, odd, none):
 # --- 10 token files
 
 
+def check_encoder(encoder, library, texts):
+    got, ends = encoder.encode(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert got[a:b].tolist() == [*(library.encode(t, add_special_tokens=False).ids if t else []), 0], t
+
+
 def test_encoder_is_exact():
-    e, rng = tokens.Encoder(tokenizer()), random.Random(0)
-    signs = list("ab  \t\n\r\x0b\x0cÀß½²'.,_-\xa0\x1c\x85\xadǅ»’…–1٣日🙂é́sdmtlvre")
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + ["<|endoftext|>", None, "", "I'll we've 'd 's"]
-    for t, b in zip(texts, e.encode_many(texts), strict=True):
-        assert b == np.array(e.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    e, library, rng = tokens.Encoder(tokenizer()), Tokenizer.from_file(tokenizer()), random.Random(0)
+    signs = [*"ab  \t\n\r\x0b\x0cÀß½²×'.,_-\xa0\x1c\x85\xadǅ»’…–1٣日🙂é́sdmtlvre\0", "a long word of very many letters", "thandingeshenationable", "'ll", "<|endoftext|>"]
+    for some in (signs, signs[:20]):
+        for _ in range(12):
+            check_encoder(e, library, ["".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(300)] + [None, "", "<|endoftext|>"])
+    check_encoder(e, library, ["a <|endoftext|> b", "I'll we've 'd 's x's's ''s", " ".join(f"v{i}" for i in range(30_000)), "x" * 5000])
+    check_encoder(e, library, [])
 
 
 def test_encoder_tables_are_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "KEEP", 50)
-    e = tokens.Encoder(tokenizer())
-    texts = [" ".join(f"w{i * 7 + k}" for k in range(9)) for i in range(60)]
-    for t in texts:
-        assert e.encode_many([t])[0] == np.array(e.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert len(e.known) <= 50 and len(e.older) <= 50
+    for name, value in (("KEEP", 400), ("SLOTS", 800), ("GROUP", 50), ("KEEP_LONG", 5)):
+        monkeypatch.setattr(tokens, name, value)
+    e, library = tokens.Encoder(tokenizer()), Tokenizer.from_file(tokenizer())
+    for i in range(120):
+        check_encoder(e, library, [" ".join(f"w{i * 7 + k} the{'x' * k} same" for k in range(30))] * 2)
+        assert e.pieces.n <= 401 and len(e.long) <= 5
+
+
+def test_slices_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "BYTES", 10)
+    monkeypatch.setattr(tokens, "ROWS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 4, None, "", "b", "c" * 11, "d" * 30, "e", "f"], pa.string())], ["t"])
+    got = [x.column(0).to_pylist() for x in tokens.slices(batch, 0)]
+    assert got == [["a" * 4, None, ""], ["b"], ["c" * 11], ["d" * 30], ["e", "f"]]
 
 
 @pytest.mark.parametrize("rows", [ODD, corpus(11, 150), []])
 def test_token_files_round_trip(spark, rows):
-    e, at = tokens.Encoder.of(tokenizer()), 0
+    library, at = Tokenizer.from_file(tokenizer()), 0
     got = sorted(tokenbin.round_trip(docs(spark, rows), tokenizer()).collect(), key=lambda r: r.start)
     keyed = lambda i: (i is not None, i or 0)
     assert [keyed(r.doc_id) for r in got] == sorted(keyed(r[0]) for r in rows)
-    want = Counter((i, zlib.crc32(np.array([*e.library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t, *_ in rows)
+    want = Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t, *_ in rows)
     assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
     for r in got:
         assert r.start == at
