@@ -13,21 +13,15 @@ from pyspark.sql.window import Window
 #: Words are maximal runs of anything but these: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only up to this many (narrow) rows; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only if its rows, as counted before, need no more; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def tidy() -> None:
-    """Gives memory that a task is done with back to the system, since the next stages share the executor's."""
-    import ctypes
-
+    """Gives Arrow's free memory back to the system at the end of a task."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +73,18 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def checked(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if its counted rows are within the limit."""
-    return F.broadcast(small) if rows <= limit else small
+def size_of(df: DataFrame) -> int:
+    """About the bytes of df's rows in memory: 8 a number, strings and arrays of numbers by their lengths."""
+    row: Column = F.lit(16)
+    for name, kind in df.dtypes:
+        more = F.octet_length(name) + 16 if kind in ("string", "binary") else F.greatest(F.size(name), F.lit(0)) * 8 + 24 if kind.startswith("array") else F.lit(8)
+        row = row + F.coalesce(more, F.lit(8))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def checked(small: DataFrame) -> DataFrame:
+    """small, which must be stored, with a broadcast hint if its measured size is within the limit."""
+    return F.broadcast(small) if size_of(small) <= BROADCAST_BYTES else small
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -28,11 +28,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import BROADCAST_ROWS, checked, fresh, tidy, written
+from .common import checked, fresh, tidy, written
 
 WORDS, PERCENT = 5, 80
 BLOCK = 128
@@ -42,6 +42,7 @@ DOCS = 128  # texts that are cut at a time
 CHUNK = 1_500_000  # tokens of which frequent ones are counted together
 GRID = 4096  # a token in more sets is dealt over a grid of this many sets a cell
 MAX_LIGHT = 64
+MAX_BITS = 1 << 28  # of the filter of the sets to be compared; past that it lets more through
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -147,16 +148,37 @@ def ceil_share(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def _prefixes(tokens: list[np.ndarray], t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the small sets of a chunk, by size: sizes, tokens of their prefixes, and the summed counts of those within the chunk."""
+    small = [x for x in tokens if 0 < len(x) <= 2 * MAX_LIGHT]
+    if not small:
+        return (np.empty(0, np.int64),) * 3
+    n = np.array([len(x) for x in small])
+    count = c[np.searchsorted(t, np.concatenate(small))]
+    by = np.lexsort((count, np.repeat(np.arange(len(n)), n)))
+    rank = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
+    length = n - (-(-PERCENT * n // 100)) + 1
+    front = np.where(rank < np.repeat(length, n), count[by], 0)
+    total = np.add.reduceat(front, np.cumsum(n) - n)
+    sizes, of = np.unique(n, return_inverse=True)
+    return sizes, np.bincount(of, weights=length).astype(np.int64), np.bincount(of, weights=total).astype(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (kind 0: doc_id, n, name) and, of each chunk, the tokens in two sets or more (kind 1: token, count)."""
-    names = ["kind", "a", "b", "c"]
+    """A row per document (kind 0: doc_id, n, name, place) and, of each chunk, the tokens in two sets or more (kind 1: token, count), itself (kind 2) and what ``_prefixes`` gives (kind 3)."""
+    names = ["kind", "a", "b", "c", "d"]
 
-    def frequent(tokens: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+        none = np.zeros(len(cols[0]), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(none), kind, np.int32)), *[pa.array(x.astype(np.int64)) for x in [*cols, none, none, none, none][:4]]], names)
+
+    def frequent(tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t = np.sort(np.concatenate(tokens))
         edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
-        c = np.diff(edge)
-        u, c = t[edge[:-1]][c >= 2], c[c >= 2]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(u), np.int64))], names)
+        t, c = t[edge[:-1]], np.diff(edge)
+        yield rows(1, t[c >= 2].view(np.int64), c[c >= 2])
+        yield rows(2, np.zeros(1))
+        yield rows(3, *_prefixes(tokens, t, c))
 
     tokens, held, seen = [], 0, set()
     for batch in batches:
@@ -169,13 +191,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(key)
                     tokens.append(t[off[i] : off[i + 1]])
                     held += key[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), pa.array(name)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), pa.array(name), part.column(2)], names)
             if held > CHUNK:
-                yield frequent(tokens)
+                yield from frequent(tokens)
                 tokens, held = [], 0
     if held:
-        yield frequent(tokens)
-    del tokens, seen
+        yield from frequent(tokens)
     _words.clear()
     tidy()
 
@@ -203,21 +224,28 @@ class Order:
         order = np.lexsort((s, w))
         slack, out = n - ceil_share(n, percent), []
         if n <= self.light:
-            p = np.sort(s[order[: slack + 2]])
+            p = np.sort(order[: slack + 2])  # places, so in order of the tokens
             if len(p) >= 2:  # a set of one token has no partner but its equal
                 i, j = np.triu_indices(len(p), 1)
-                out.append(_mix(p[i] * U(0x9E3779B97F4A7C15) + _mix(p[j] + U(2))))
+                i, j = p[i], p[j]
+                out.append(self._dealt(_mix(s[i] * U(0x9E3779B97F4A7C15) + _mix(s[j] + U(2))), np.minimum(w[i], w[j]), name))
         if 100 * n > percent * self.light:  # may have a heavy partner, or is one
-            p, wp = s[order[: slack + 1]], w[order[: slack + 1]]
-            hot = wp > GRID
-            out.append(p[~hot])
-            for token, sets in zip(p[hot].tolist(), wp[hot].tolist(), strict=True):
-                g = -(-sets // GRID)
-                mine = name % g
-                lo, hi = np.minimum(np.arange(g), mine).astype(U), np.maximum(np.arange(g), mine).astype(U)
-                out.append(_mix(_mix(U(token) + lo * U(0x9E3779B97F4A7C15)) + hi + U(7)))
+            p = order[: slack + 1]
+            out.append(self._dealt(s[p], w[p], name))
         return np.concatenate(out) if out else np.empty(0, dtype=U)
 
+    @staticmethod
+    def _dealt(lists: np.ndarray, sets: np.ndarray, name: int) -> np.ndarray:
+        """The lists themselves, and of each with many sets (at most ``sets``) the cells of its grid in which this set meets all others."""
+        hot = sets > GRID
+        out = [lists[~hot]]
+        for one, many in zip(lists[hot].tolist(), sets[hot].tolist(), strict=True):
+            g = -(-many // GRID)
+            mine = name % g
+            lo, hi = np.minimum(np.arange(g), mine).astype(U), np.maximum(np.arange(g), mine).astype(U)
+            out.append(_mix(_mix(U(one) + lo * U(0x9E3779B97F4A7C15)) + hi + U(7)))
+        return np.concatenate(out)
+
     def batch_keys(self, tokens: np.ndarray, off: np.ndarray, names: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, index of the set of each) of the wanted sets.
 
@@ -241,7 +269,7 @@ class Order:
 
 
 def boundary(sizes: dict[int, tuple[int, float]], percent: int = PERCENT) -> int:
-    """The size up to which sets are light, from (size: (sets, mean number of sets on a list of theirs)).
+    """The size up to which sets are light, from (size: (sets, mean number of sets on a list of their prefix)).
 
     A light set costs its subsets; a heavy one its prefix tokens and, for each, half of what stands on
     its list, since those are pairs to compare. Sizes just below the boundary pay for both.
@@ -380,7 +408,7 @@ def _find(parent: list[int], x: int) -> int:
 
 
 def _candidates(second: bool):
-    """From (t1, t2, rep, n, bits[, root]) sorted by tile: pairs (a, b) of rep to be compared exactly, a < b."""
+    """From (t1, t2, sid, n, bits[, root]) sorted by tile: pairs (a, b) of sid to be compared exactly, a < b."""
 
     def of_tile(rep: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray) -> np.ndarray:
         if len(rep) < 2 or second and (root == root[0]).all():
@@ -439,46 +467,74 @@ def _candidates(second: bool):
     return run
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, DOCS):
-            part = batch.slice(at, DOCS)
-            t, off, _ = shingle_batch(part.column(1).to_pylist())
-            values = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(t)])
-            yield pa.RecordBatch.from_arrays([part.column(0), values.cast(pa.binary())], ["rep", "tokens"])
-    _words.clear()
-    tidy()
+def _tokens(places: pa.Buffer, bits: int):
+    """From (place, text): (name, n, tokens) of the distinct sets of a task whose place is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = np.frombuffer(places, dtype=U), set()
+        for batch in batches:
+            place = batch.column(0).to_numpy().view(U) % U(bits)
+            batch = batch.filter(pa.array((wanted[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)))
+            for at in range(0, batch.num_rows, DOCS):
+                t, off, names = shingle_batch(batch.slice(at, DOCS).column(1).to_pylist())
+                n = np.diff(off)
+                new = []
+                for i, key in enumerate(zip(n.tolist(), names.tolist(), strict=True)):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(i)
+                sets = [t[off[i] : off[i + 1]].tobytes() for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array(names[new]), pa.array(n[new].astype(np.int64)), pa.array(sets, pa.binary())], ["name", "n", "tokens"])
+        _words.clear()
+        tidy()
+
+    return run
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, b, tokens) sorted by pair, two rows each: the links (a, b) among them."""
+    """From (a, b, sid, tokens) sorted so, of each pair the rows of a and those of b, one at least: the links (a, b) among them."""
     held: tuple | None = None
     for batch in batches:
         out = []
         for k in range(batch.num_rows):
-            a, b, t = (batch.column(c)[k].as_py() for c in range(3))  # one set at a time: a batch may be large
-            if held and held[:2] == (a, b):
-                x, y = np.frombuffer(held[2], dtype=U), np.frombuffer(t, dtype=U)
+            a, b, sid, t = (batch.column(c)[k].as_py() for c in range(4))  # one set at a time: a batch may be large
+            if not held or held[:2] != (a, b):
+                held = (a, b, sid, t)
+            elif held[2] not in (None, sid):
+                x, y = np.frombuffer(held[3], dtype=U), np.frombuffer(t, dtype=U)
                 both = np.concatenate((x, y))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= PERCENT * (len(both) - common):
                     out.append((a, b))
-                held = None
-            else:
-                held = (a, b, t)
+                held = (a, b, None, b"")  # done; further rows of b repeat it
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def compare(base: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of doc_id that are links, exactly; only the texts that occur in a pair are read into sets."""
+def place_filter(places: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+    """A bitmap of the values of (place): about 16 bits a row, MAX_BITS at most. It lets through all of them, and of others about a share of rows / bits."""
+    bits = 1 << max(10, min(MAX_BITS, 16 * rows).bit_length() - 1)
+    slot = F.col("place").bitwiseAND(F.lit(bits - 1))
+    words = places.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
+    out = np.zeros(bits // 64, dtype=U)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(U)
+    return out, bits
+
+
+def compare(base: DataFrame, groups: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of sid that are links, exactly.
+
+    A bitmap of the places of the sets in a pair keeps other texts from being cut into sets; it is no
+    larger than MAX_BITS whatever their number, and what it lets through is decided by the join. So texts are not moved, only sets.
+    """
     pairs = written(pairs.distinct(), f"pairs-{name}")
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_rep"))
-    wanted = written(ends.select("_rep").distinct(), f"wanted-{name}")
-    chosen = base.join(checked(wanted, wanted.count()), F.col("doc_id") == F.col("_rep"), "left_semi").dropDuplicates(["doc_id"])
-    sets = chosen.mapInArrow(_tokens, "rep bigint, tokens binary")
-    both = ends.join(sets, F.col("_rep") == F.col("rep")).select("a", "b", "tokens")
-    return written(both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compared, "a bigint, b bigint"), f"links-{name}")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
+    wanted = written(ends.select("sid").distinct().join(groups, "sid").select("sid", "name", "n", "place"), f"wanted-{name}")
+    bitmap, bits = place_filter(wanted, wanted.count())
+    sets = base.select("place", "text").mapInArrow(_tokens(pa.py_buffer(bitmap.tobytes()), bits), "name bigint, n bigint, tokens binary")
+    sets = sets.join(checked(wanted.select("sid", F.col("name").alias("_name"), F.col("n").alias("_n"))), (F.col("name") == F.col("_name")) & (F.col("n") == F.col("_n")))
+    both = ends.join(sets.select(F.col("sid").alias("_sid"), "tokens"), F.col("sid") == F.col("_sid")).select("a", "b", "sid", "tokens")
+    return written(both.repartition("a", "b").sortWithinPartitions("a", "b", "sid").mapInArrow(_compared, "a bigint, b bigint"), f"links-{name}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -493,7 +549,7 @@ def components(edges: DataFrame) -> DataFrame:
     def smallest(rows: DataFrame) -> DataFrame:
         """(_u, m): the least neighbour or itself, for each u of rows (u, v)."""
         m = written(rows.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("_u"), F.least("u", "v").alias("m")), "least")
-        return checked(m, m.count())
+        return checked(m)
 
     last = None
     while True:
@@ -516,52 +572,73 @@ def cluster(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links reach. A text without words is linked with nothing
     and has its own doc_id. Documents with the same set are linked, whatever their number; they
-    stand for one set in the search. Repeated rows get a row each. A null doc_id has the others'
-    component, or null. Rows of one doc_id must have one text to be compared by it. Whole texts are
+    stand for one set in the search. Repeated rows get a row each; rows of one doc_id with different texts are
+    documents of their own. A document without doc_id links others all the same, and has their component, or null. An
+    empty table gives an empty table; other columns are not used. Whole texts are
     read twice, and those of candidate pairs again; moved are the lists, and the sets of such pairs.
     """
+    return _clustered(docs).drop("place")
+
+
+def _place() -> Column:
+    """Tells rows apart by doc_id and text; of rows with both equal, any stands for all."""
+    return F.xxhash64(F.lit(11), F.col("doc_id").cast("long"), "text")
+
+
+def _clustered(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(base.mapInArrow(_sets, "kind int, a bigint, b bigint, c bigint"), "sets")
-    of_docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("name"))
-    top = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("sets")).orderBy(F.desc("sets"), "a").limit(TOP).toArrow()
-    order = Order(top.column("a").to_numpy().astype(np.int64).view(U), top.column("sets").to_numpy().astype(np.int64))
-    groups = written(of_docs.where("n > 0").groupBy("n", "name").agg(F.min("doc_id").alias("rep")), "groups")
-    postings = base.select("text").mapInArrow(_postings_of(order, groups), "key bigint, name bigint, n int, bits binary")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _place().alias("place"))
+    found = written(base.mapInArrow(_sets, "kind int, a bigint, b bigint, c bigint, d bigint"), "sets")
+    of_docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("name"), F.col("d").alias("place"))
+    groups = of_docs.where("n > 0").groupBy("n", "name").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"))
+    groups = written(groups.withColumn("sid", F.monotonically_increasing_id()), "groups")
+    postings = base.select("text").mapInArrow(_postings(order_of(found)), "key bigint, name bigint, n int, bits binary")
     lists = postings.repartition(F.coalesce("key", "name")).sortWithinPartitions("key", "n", "name")
     tiles = written(lists.mapInArrow(_tiles, "t1 bigint, t2 bigint, name bigint, n int, bits binary"), "tiles")
     sets = tiles.where("bits is not null").groupBy("name", "n").agg(F.first("bits").alias("bits"))
-    sets = sets.join(groups.where("rep is not null").select("name", F.col("n").cast("int").alias("n"), "rep"), ["name", "n"])
+    sets = sets.join(groups.select("name", F.col("n").cast("int").alias("n"), "sid"), ["name", "n"])
     members = tiles.where("bits is null").select("t1", "t2", "name", "n").distinct()
-    tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "rep", "n", "bits"), "tiled")
+    tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "sid", "n", "bits"), "tiled")
     by_tile = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
-    first = compare(base, by_tile(tiled).mapInArrow(_candidates(False), "a bigint, b bigint"), "first")
+    first = compare(base, groups, by_tile(tiled).mapInArrow(_candidates(False), "a bigint, b bigint"), "first")
     roots = written(components(first), "roots")
-    known = tiled.join(checked(roots, roots.count()), F.col("rep") == F.col("node"), "left").select("t1", "t2", "rep", "n", "bits", "root")
-    second = compare(base, by_tile(known).mapInArrow(_candidates(True), "a bigint, b bigint"), "second")
-    roots = components(first.union(second))
-    of_sets = groups.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("name").alias("_name"), F.coalesce("root", "rep").alias("component_id"))
+    known = tiled.join(checked(roots), F.col("sid") == F.col("node"), "left").select("t1", "t2", "sid", "n", "bits", "root")
+    second = compare(base, groups, by_tile(known).mapInArrow(_candidates(True), "a bigint, b bigint"), "second")
+    roots = written(components(first.union(second)), "all-roots")
+    linked = written(groups.join(roots, F.col("sid") == F.col("node")).select("n", "name", "rep", "root"), "linked")
+    least = checked(written(linked.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least")), "least"))
+    linked = linked.join(least, F.col("root") == F.col("_root")).select("n", "name", "least")
+    alone = groups.join(roots, F.col("sid") == F.col("node"), "left_anti").select("n", "name", F.col("rep").alias("least"))
+    of_sets = linked.union(alone).toDF("_n", "_name", "component_id")
     out = of_docs.join(of_sets, (F.col("n") == F.col("_n")) & (F.col("name") == F.col("_name")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "place")
+
 
+def order_of(found: DataFrame) -> Order:
+    """The order of tokens and the boundary, from the rows of ``_sets``.
 
-def _postings_of(order: Order, groups: DataFrame):
-    """Sets the boundary from the sets' sizes and the mean numbers of sets on the frequent lists of each size."""
-    sizes = groups.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()
-    total = max(1, sum(r["sets"] for r in sizes))
-    on_list = float(order.sets.sum()) / total if total else 0.0
-    order.light = boundary({int(r["n"]): (r["sets"], min(on_list, r["sets"])) for r in sizes})
-    return _postings(order)
+    A token's sets are counted where it is in two or more of a chunk. If s sets are counted so in k
+    chunks, a token spread evenly is in about the root of k s sets, which may be more.
+    """
+    chunks = found.where("kind = 2").count()
+    top = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("sets")).orderBy(F.desc("sets"), "a").limit(TOP).toArrow()
+    sets = top.column("sets").to_numpy().astype(np.float64)
+    sets = np.maximum(sets, np.sqrt(chunks * sets)).astype(np.int64)
+    sizes = found.where((F.col("kind") == 0) & F.col("b").between(1, 2 * MAX_LIGHT)).groupBy("b").agg(F.countDistinct("c").alias("sets")).collect()
+    lists = {r["a"]: r["s"] / r["p"] for r in found.where("kind = 3").groupBy("a").agg(F.sum("b").alias("p"), F.sum("c").alias("s")).collect()}
+    light = boundary({r["b"]: (r["sets"], lists.get(r["b"], 1.0)) for r in sizes})
+    return Order(top.column("a").to_numpy().astype(np.int64).view(U), sets, light)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents that have a smaller one in their component; all columns stay.
 
-    Rows that repeat a kept doc_id with the same text are one; a null doc_id is kept.
+    Rows that repeat a kept doc_id with the same text are one; rows of one doc_id with different texts are
+    judged each. A null doc_id is kept. An empty table gives an empty table.
     """
-    got = cluster(docs)
-    gone = fresh(docs, "_fq_gone")
-    out_of = written(got.where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
-    kept = docs.join(checked(out_of, out_of.count(), BROADCAST_ROWS), docs["doc_id"] == F.col(gone), "left_anti")
-    repeated = got.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    got = written(_clustered(docs), "clustered")
+    gone, place = fresh(docs, "_fq_gone"), fresh(docs, "_fq_place")
+    out_of = written(got.where("component_id < doc_id").select(F.col("place").alias(gone)).distinct(), "gone")
+    kept = docs.withColumn(place, _place()).join(checked(out_of), F.col(place) == F.col(gone), "left_anti").drop(place)
+    repeated = got.where("doc_id is not null").groupBy("place").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

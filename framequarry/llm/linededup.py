@@ -14,6 +14,18 @@ def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
+PARTS = 64  # a host's lines are kept in so many arrays, by hash: a look-up scans one of them
+
+
+def _held(lines: Column) -> Column:
+    """array<array<bigint>>: the hashes by their remainder."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.filter(lines, lambda x: F.pmod(x, F.lit(PARTS)) == i))
+
+
+def _holds(held: Column, h: Column) -> Column:
+    return F.array_contains(F.element_at(held, (F.pmod(h, F.lit(PARTS)) + 1).cast("int")), h)
+
+
 def _lines() -> Column:
     """Hashes of the distinct lines of a text."""
     return F.array_distinct(F.transform(F.filter(F.transform(F.split(F.col("text"), "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)))
@@ -23,8 +35,9 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_
     """(host, lines: array<bigint>): hashes of the boilerplate lines of each host that has any.
 
     A line counts once a page, without white space at its ends; blank lines never count. It is
-    boilerplate if more than ``ratio`` of the host's pages have it and at least ``min_pages`` do. A
-    host with m lines a page has at most m / ratio such lines, so the array is bounded by page
+    boilerplate if more than ``ratio`` of the host's pages have it and at least ``min_pages`` do: on a
+    host of fewer than min_pages / ratio pages the number of pages decides, not the share, since a
+    line on two pages of fifty says nothing of a site. A with m lines a page has at most m / ratio such lines, so the array is bounded by page
     length, not by the number of pages. Counts are pre-aggregated before the shuffle.
     """
     per_page = docs.select(F.col(host).alias("h"), _lines().alias("ls"))
@@ -41,8 +54,7 @@ def spared(docs: DataFrame, bad: DataFrame, one_of_each: Callable[[DataFrame], D
     asked again: of those pages, and of all the host's pages less the copies found. Only pages with such
     lines are compared, and nothing is added to bad.
     """
-    size = bad.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
-    side = checked(bad.select(F.col("h").alias("_fq_h"), F.col("lines").alias("_fq_lines")), sum(size))
+    side = checked(bad).select(F.col("h").alias("_fq_h"), F.col("lines").alias("_fq_lines"))
     have = written(docs.join(side, docs[host].eqNullSafe(side["_fq_h"])).where(F.arrays_overlap(_lines(), F.col("_fq_lines"))).select(*[docs[c] for c in docs.columns]), "have")
     ones = written(one_of_each(have), "ones")
     count = lambda df, n: df.groupBy(F.col(host).alias(f"_{n}")).agg(F.count(F.lit(1)).alias(n))
@@ -59,26 +71,23 @@ def spared(docs: DataFrame, bad: DataFrame, one_of_each: Callable[[DataFrame], D
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_pages: int = 5, dropped: str | None = None, one_of_each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of text; all rows and columns stay.
 
-    A page whose every line with a word is boilerplate keeps them all: it is a copy of a page, which
-    is for document dedup, and dropping it here would lose its content altogether. Null text stays
-    null, empty text empty; a null host is a host of its own. ``dropped`` names a column for the
+    A page whose every line is boilerplate is left with an empty text. White space lines stay. Null
+    text stays null, empty text empty; a null host is a host of its own. Repeated rows count and are
+    cleaned each. ``dropped`` names a column, which replaces one of docs with that name, for the
     number of lines taken out. With ``one_of_each``, which leaves one page of each group of near copies, a
     line counts once for such a group (``spared``). Texts are not shuffled while the hosts' lists can be broadcast.
     """
     bad = written(boilerplate(docs, host, ratio, min_pages), "boilerplate")
     if one_of_each is not None:
         bad = spared(docs, bad, one_of_each, host, ratio, min_pages)
-    lines, n = bad.select(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
     b, k = fresh(docs, "_fq_bad"), fresh(docs, "_fq_host")
-    bad = bad.select(F.col("h").alias(k), F.col("lines").alias(b))
-    out = docs.join(checked(bad, lines + n), docs[host].eqNullSafe(bad[k]), "left")
+    side = checked(bad).select(F.col("h").alias(k), _held(F.col("lines")).alias(b))
+    out = docs.join(side, docs[host].eqNullSafe(side[k]), "left")
     parts = F.split(F.col("text"), "\n")
-    is_bad = lambda x: F.array_contains(F.col(b), F.xxhash64(_trimmed(x)))
-    kept = F.filter(parts, lambda x: ~is_bad(x))
-    has_words = F.exists(kept, lambda x: _trimmed(x) != "")
     s = fresh(docs, "_fq_kept")
-    out = out.withColumn(s, F.when(F.col(b).isNotNull() & F.col("text").isNotNull() & has_words, kept))
-    cols = [docs[c] if c != "text" else F.when(F.col(s).isNull(), docs["text"]).otherwise(F.array_join(F.col(s), "\n")).alias("text") for c in docs.columns]
+    out = out.withColumn(s, F.when(F.col(b).isNotNull() & F.col("text").isNotNull(), F.filter(parts, lambda x: ~_holds(F.col(b), F.xxhash64(_trimmed(x))))))
+    text = F.when(F.col(s).isNull(), docs["text"]).otherwise(F.array_join(F.col(s), "\n"))
+    cols = [docs[c] if c != "text" else text.alias("text") for c in docs.columns if not dropped or c.lower() != dropped.lower()]
     if dropped:
         cols.append(F.when(F.col(s).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(F.col(s))).cast("long").alias(dropped))
     return out.select(*cols)

@@ -1,10 +1,12 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
-Statistics of each text are turned into a vector. For every (language, source) the rows of the h
-smallest distances define the next centre and covariance (a C-step), from medians on, until few
-steps are done; a text is rejected if its Mahalanobis distance to the result is beyond a quantile that follows from
-the distances of its group's bulk.
-All steps are aggregations over all rows; nothing is sampled, and the driver sees no group.
+Statistics of each text are turned into a vector. Of every (language, source), the estimate sought is
+mean and covariance of the share of its rows whose covariance has the least determinant. From four
+starts, C-steps (the rows of the smallest distances give the next mean and covariance) lower the
+determinant; the start that came lowest goes on until no group gains, and the least determinant met
+decides. A text is rejected if its Mahalanobis distance to that estimate is beyond a quantile that
+follows from the distances of its group's bulk. All steps are aggregations over all rows; nothing is
+sampled, and the driver sees no group.
 """
 
 from __future__ import annotations
@@ -132,13 +134,18 @@ def base_failed() -> Column:
 
 X = [f"_x{i}" for i in range(P)]
 E = [f"_e{i}" for i in range(P)]
+C, D = [f"_c{i}" for i in range(P)], [f"_d{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-MODEL = "_l string, _s string, _n bigint, " + ", ".join(f"_m{i} double" for i in range(P)) + ", " + ", ".join(f"_i{i}{j} double" for i, j in PAIRS)
+G = ["_l", "_s"]
+REST = "~"  # both keys of the rows whose own group is too small
+FINE = 4096  # a coordinate's medians are read from counts of intervals of this part of 1
+STEPS_PER_E = 256  # distances are counted in intervals of this part of their logarithm
+MODEL = "_l string, _s string, _t int, _n double, _det double, " + ", ".join(f"_m{i} double" for i in range(P)) + ", " + ", ".join(f"_i{i}{j} double" for i, j in PAIRS)
 
 
-def _sums() -> list[Column]:
-    squares = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"_q{i}{j}") for i, j in PAIRS]
-    return [F.count(F.lit(1)).alias("_n"), *[F.sum(X[i]).alias(f"_s{i}") for i in range(P)], *squares, *[F.sum(e).alias(e) for e in E]]
+def _sums(weight: Column) -> list[Column]:
+    squares = [F.sum(weight * F.col(X[i]) * F.col(X[j])).alias(f"_q{i}{j}") for i, j in PAIRS]
+    return [F.sum(weight).alias("_n"), *[F.sum(weight * F.col(X[i])).alias(f"_s{i}") for i in range(P)], *squares, *[F.sum(weight * F.col(e)).alias(e) for e in E]]
 
 
 def chi2_quantile(p: float, df: int) -> float:
@@ -148,108 +155,147 @@ def chi2_quantile(p: float, df: int) -> float:
     return df * (1 - 2 / (9 * df) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * df))) ** 3
 
 
-def _inverse(n: float, sums: list[float], scale: float) -> list[float]:
-    """Centre, and upper triangle of the inverse of the covariance, of sums in the order of ``_sums``.
+def _moments(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, covariance and mean noise of a row of ``_sums``."""
+    n = r["_n"]
+    m = np.array([r[f"_s{i}"] for i in range(P)]) / n
+    c = np.zeros((P, P))
+    for i, j in PAIRS:
+        c[i, j] = c[j, i] = r[f"_q{i}{j}"] / n - m[i] * m[j]
+    return m, c, np.array([r[e] for e in E]) / n
+
 
-    A coordinate whose fitted variance is below its noise (it is 0 in nearly all texts) has the noise
+def _estimate(r: dict, t: int, m: np.ndarray, c: np.ndarray, noise: np.ndarray, scale: float) -> list:
+    """A row of MODEL.
+
+    A coordinate whose variance is below its noise (it is 0 in nearly all texts) has the noise
     for its variance and no covariance; all others have what was fitted. A thousandth off the
-    correlations keeps a matrix of equal coordinates invertible.
+    correlations keeps a matrix of equal coordinates invertible. _det is the determinant's logarithm.
     """
-    m, squares, e = np.array(sums[:P]) / n, sums[P : P + len(PAIRS)], np.array(sums[P + len(PAIRS) :]) / n
-    c = np.zeros((P, P))
-    for (i, j), q in zip(PAIRS, squares, strict=True):
-        c[i, j] = c[j, i] = (q / n - m[i] * m[j]) * scale
-    least = np.maximum(e, 1e-9)
+    least = np.maximum(noise, 1e-9)
+    c = c * scale
     few = np.diag(c) < least
     c[few, :] = c[:, few] = 0.0
     c = 0.999 * c + 0.001 * np.diag(np.diag(c))
     c[few, few] = least[few]
     inv = np.linalg.inv(c)
-    return [*m.tolist(), *[float(inv[i, j]) for i, j in PAIRS]]
+    return [r["_l"], r["_s"], t, float(r["_n"]), float(np.linalg.slogdet(c)[1]), *m.tolist(), *[float(inv[i, j]) for i, j in PAIRS]]
 
 
-def _fit(pooled: list[float], min_rows: int, scale: float):
+def _models(make) -> Column:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in MODEL.split(", ")]
         for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                v = [float(x or 0) for x in r[3:]]
-                rows.append([r[0], r[1], int(r[2]), *(_inverse(r[2], v, scale) if r[2] >= min_rows else pooled)])
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([x for r in f.to_dict("records") for x in make(r)], columns=[x.split()[0] for x in MODEL.split(", ")])
 
     return run
 
 
+def _start_models(r: dict) -> list[list]:
+    """The starts from one row of sums: of kind 0 the plain moments and, of medians alone, a diagonal; of kinds 2 and 3 the correlations of bounded coordinates."""
+    m, c, noise = _moments(r)
+    centre = np.array([r[x] for x in C])
+    spread = np.array([r[x] for x in D])
+    if r["_t"] == 0:
+        return [_estimate(r, 0, m, c, noise, 1.0), _estimate(r, 1, centre, np.diag(spread**2), noise, 1.0)]
+    sd = np.sqrt(np.maximum(np.diag(c), 1e-12))
+    return [_estimate(r, r["_t"], centre, c / np.outer(sd, sd) * np.outer(spread, spread), noise, 1.0)]
+
+
+def _step_models(scale: float):
+    return lambda r: [_estimate(r, r["_t"], *_moments(r), scale)]
+
+
 def _distance() -> Column:
     d = [F.col(X[i]) - F.col(f"_m{i}") for i in range(P)]
     return reduce(lambda a, b: a + b, [F.lit(1.0 if i == j else 2.0) * F.col(f"_i{i}{j}") * d[i] * d[j] for i, j in PAIRS])
 
 
-def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, min_rows: int = 100) -> tuple[DataFrame, int]:
-    """(model, its rows): centre and inverse covariance of each group, of rows (_l, _s, _x0 ..., _e0 ...).
+def _quantile(counts: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys and, for each share, _q0, _q1 ...: the first interval _k by which that share of the counts _c is reached.
 
-    Starts from the median and its deviation in each coordinate. In a step, a histogram of the
-    distances gives the value below which ``share`` of the group lies, and sums of the rows below it give
-    the next estimate. _e0 ... are the coordinates' noise, 0 if not given. Groups of fewer than ``min_rows`` rows share the estimate of all rows.
+    A group has as many rows as intervals, whatever the number of texts.
     """
-    n_groups = 0
+    upto = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"_u": F.sum("_c").over(upto), "_a": F.sum("_c").over(Window.partitionBy(*keys))})
+    return counts.groupBy(*keys).agg(*[F.min(F.when(F.col("_u") >= F.ceil(F.lit(p) * F.col("_a")), F.col("_k"))).alias(f"_q{i}") for i, p in enumerate(shares)])
+
+
+def _medians(rows: DataFrame, values: list[Column], names: list[str]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.floor(v * FINE).alias("_k")) for i, v in enumerate(values)]))
+    counts = rows.select(*G, each.alias("_v")).select(*G, "_v.*").groupBy(*G, "_i", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    at = (F.col("_q0") + 0.5) / FINE
+    return written(_quantile(counts, [*G, "_i"], [0.5]).groupBy(*G).agg(*[F.max(F.when(F.col("_i") == i, at)).alias(n) for i, n in enumerate(names)]), "medians")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Four estimates of each group, as MODEL: 0 plain moments; 1 medians and their deviations; 2 and 3 the same with the correlations of tanh and of the signs in space."""
+    centre = checked(_medians(rows, [F.col(x) for x in X], C))
+    near = rows.join(centre, G)
+    off = checked(_medians(near, [F.abs(F.col(x) - F.col(c)) for x, c in zip(X, C, strict=True)], D))
+    near = near.join(off.select(*G, *[(F.col(d) * 1.4826).alias(d) for d in D]), G)
+    z = [(F.col(x) - F.col(c)) / F.greatest(F.col(d), F.sqrt(F.col(e)), F.lit(1e-6)) for x, c, d, e in zip(X, C, D, E, strict=True)]
+    length = F.sqrt(reduce(lambda a, b: a + b, [v * v for v in z]) + 1e-12)
+    kinds = [(0, [F.col(x) for x in X]), (2, [F.tanh(v) for v in z]), (3, [v / length for v in z])]
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("_t"), *[v.alias(x) for x, v in zip(X, vs, strict=True)]) for t, vs in kinds]))
+    sums = near.select(*G, *C, *D, *E, each.alias("_v")).select(*G, *C, *D, *E, "_v.*").groupBy(*G, "_t").agg(*_sums(F.lit(1.0)), *[F.max(c).alias(c) for c in C + D])
+    return written(sums.mapInPandas(_models(_start_models), MODEL), "starts")
+
+
+def c_step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
+    """Of each model, that of the ``share`` of its group's rows with the smallest distances; the rows of the last interval count in part, all alike."""
+    # what the covariance of the nearest share lacks against that of all, for a normal distribution of P coordinates
+    scale = share / _chi2_cdf(chi2_quantile(share, P), P + 2)
+    k = F.floor(F.log(F.least(F.greatest(_distance(), F.lit(1e-9)), F.lit(1e12))) * STEPS_PER_E).cast("int")
+    d = rows.join(checked(model.drop("_n", "_det")), G).select(*G, "_t", *X, *E, k.alias("_k"))
+    upto, need = Window.partitionBy(*G, "_t").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0), F.ceil(F.lit(share) * F.col("_a"))
+    counts = d.groupBy(*G, "_t", "_k").agg(F.count(F.lit(1)).alias("_c")).withColumns({"_u": F.sum("_c").over(upto), "_a": F.sum("_c").over(Window.partitionBy(*G, "_t"))})
+    last = counts.where((F.col("_u") >= need) & (F.col("_u") - F.col("_c") < need))
+    edge = written(last.select(*G, "_t", F.col("_k").alias("_q0"), ((need - F.col("_u") + F.col("_c")) / F.col("_c")).alias("_w")), "edge")
+    weight = F.when(F.col("_k") == F.col("_q0"), F.col("_w")).otherwise(F.lit(1.0))
+    sums = d.join(checked(edge), [*G, "_t"]).where("_k <= _q0").groupBy(*G, "_t").agg(*_sums(weight))
+    return written(sums.mapInPandas(_models(_step_models(scale)), MODEL), "model")
+
+
+def least(models: DataFrame) -> DataFrame:
+    """Of each group, the model of the least determinant."""
+    best = models.groupBy(*G).agg(F.min_by(F.struct(*models.columns), F.struct("_det", "_t")).alias("_b"))
+    return written(best.select("_b.*"), "least")
 
-    def model(sums: DataFrame, scale: float) -> DataFrame:
-        nonlocal n_groups
-        sums = written(sums, "sums")
-        total = sums.agg(F.count(F.lit(1)).alias("g"), *[F.sum(c).alias(c) for c in sums.columns[2:]]).first()
-        n_groups = total["g"]
-        v = [float(x or 0) for x in total[2:]]
-        pooled = _inverse(total["_n"], v, scale) if (total["_n"] or 0) > P else [0.0] * (P + len(PAIRS))
-        return written(sums.mapInPandas(_fit(pooled, min_rows, scale), MODEL), "model")
 
+def fit(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
+    """The model of each group of rows (_l, _s, _x0 ..., _e0 ...): minimum covariance determinant of ``share`` of its rows.
+
+    Two C-steps from each start, then up to ``steps`` from the least of them, as long as a group's
+    determinant falls. _e0 ... are the coordinates' noise, 0 if not given.
+    """
     ship(rows.sparkSession)
     rows = rows.withColumns({e: F.lit(0.0) for e in E if e not in rows.columns})
-    mid = rows.groupBy("_l", "_s").agg(*[F.percentile_approx(x, 0.5, 100_000).alias(f"_c{x}") for x in X])
-    mid = written(mid, "medians")
-    near = rows.join(checked(mid, mid.count()), ["_l", "_s"])
-    off = near.groupBy("_l", "_s").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"_c{x}")), 0.5, 100_000).alias(f"_d{x}") for x in X], *[F.first(f"_c{x}").alias(f"_c{x}") for x in X], F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(e) for e in E])
-    # sums as rows of those medians and 1.4826 times those deviations would give
-    sd = {x: F.col(f"_d{x}") * F.lit(1.4826) for x in X}
-    start = off.select(
-        "_l", "_s", "_n", *[(F.col("_n") * F.col(f"_c{x}")).alias(f"_s{i}") for i, x in enumerate(X)],
-        *[(F.col("_n") * (F.col(f"_c{X[i]}") * F.col(f"_c{X[j]}") + (sd[X[i]] * sd[X[j]] if i == j else F.lit(0.0)))).alias(f"_q{i}{j}") for i, j in PAIRS], *E,
-    )
-    now = model(start, 1.0)
-    upto = Window.partitionBy("_l", "_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("_l", "_s")
-    # what the covariance of the nearest share lacks against that of all, for a normal distribution of P coordinates
-    scale = share / _chi2_cdf(chi2_quantile(share, P), P + 2)
+    first = c_step(rows, starts(rows), share)
+    second = c_step(rows, first, share)
+    best, now = least(first.union(second)), least(second)
     for _ in range(steps):
-        d = rows.join(checked(now.drop("_n"), n_groups), ["_l", "_s"]).withColumn("_k", F.floor(F.log(F.least(F.greatest(_distance(), F.lit(1e-9)), F.lit(1e12))) * 32).cast("int")).select("_l", "_s", *X, *E, "_k")
-        counts = d.groupBy("_l", "_s", "_k").agg(F.count(F.lit(1)).alias("_c"))
-        counts = counts.withColumns({"_u": F.sum("_c").over(upto), "_t": F.sum("_c").over(whole)})
-        edge = counts.where(F.col("_u") >= F.ceil(F.lit(share) * F.col("_t"))).groupBy("_l", "_s").agg(F.min("_k").alias("_e"))
-        chosen = d.join(checked(edge, n_groups), ["_l", "_s"]).where("_k <= _e")
-        now = model(chosen.groupBy("_l", "_s").agg(*_sums()), scale)
-    return now, n_groups
+        now = c_step(rows, now, share)
+        was, best = best, least(best.union(now))
+        if not best.alias("b").join(was.select(*G, F.col("_det").alias("_was")), G).where("_det < _was - 1e-6").limit(1).count():
+            break
+    return best
 
 
-def limits(rows: DataFrame, model: DataFrame, n: int, tail: float, min_rows: int) -> DataFrame:
+def limits(rows: DataFrame, model: DataFrame, tail: float) -> DataFrame:
     """model with _far, the largest squared distance that is no outlier, from the distances of the group's own rows.
 
     The cube root of a squared distance is near normal whatever the number of coordinates that count (Wilson and
     Hilferty). Its median and upper quartile, which a quarter of outliers does not move beyond those of the rest, give
-    mean and deviation, and so the quantile that leaves ``tail``; the chi-squared one is the least. Groups that share an
-    estimate share a limit.
+    mean and deviation, and so the quantile that leaves ``tail``; the chi-squared one is the least.
     """
     from statistics import NormalDist
 
-    own = F.col("_n") >= min_rows
-    model = model.withColumns({"_gl": F.when(own, F.col("_l")), "_gs": F.when(own, F.col("_s"))})
-    d = rows.join(checked(model, n), ["_l", "_s"]).select("_gl", "_gs", F.cbrt(F.greatest(_distance(), F.lit(0.0))).alias("_r"))
-    q = d.groupBy("_gl", "_gs").agg(F.percentile_approx("_r", [0.5, 0.75], 100_000).alias("_q"))
+    k = F.floor(F.log(F.greatest(F.cbrt(F.greatest(_distance(), F.lit(0.0))), F.lit(1e-4))) * 2048)
+    counts = rows.join(checked(model), G).select(*G, k.alias("_k")).groupBy(*G, "_k").agg(F.count(F.lit(1)).alias("_c"))
+    mid, upper = (F.exp((F.col(q) + 0.5) / 2048) for q in ("_q0", "_q1"))
     z = NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(0.75)
-    far = F.pow(F.col("_q")[0] + F.lit(z) * (F.col("_q")[1] - F.col("_q")[0]), F.lit(3.0))
-    q = written(q.select(F.col("_gl").alias("_hl"), F.col("_gs").alias("_hs"), F.greatest(far, F.lit(chi2_quantile(1 - tail, P))).alias("_far")), "limits")
-    same = F.col("_gl").eqNullSafe(F.col("_hl")) & F.col("_gs").eqNullSafe(F.col("_hs"))
-    return model.join(checked(q, n), same).drop("_gl", "_gs", "_hl", "_hs")
+    far = F.greatest(F.pow(mid + F.lit(z) * (upper - mid), F.lit(3.0)), F.lit(chi2_quantile(1 - tail, P)))
+    return written(model.join(_quantile(counts, G, [0.5, 0.75]), G).select(*model.columns, far.alias("_far")), "limits")
 
 
 def _chi2_cdf(x: float, df: int) -> float:
@@ -264,22 +310,29 @@ def _chi2_cdf(x: float, df: int) -> float:
     return total
 
 
-def judge(docs: DataFrame, tail: float = 5e-4, share: float = 0.75, steps: int = 4, min_rows: int = 100) -> DataFrame:
+def judge(docs: DataFrame, tail: float = 5e-4, share: float = 0.75, steps: int = 6, min_rows: int = 100) -> DataFrame:
     """doc_id, STATS, base_failed, distance, kept for every document.
 
     base_failed: fewer than 20 words, or more than 30% of the words in repeated windows. Such texts
     are not fitted and not kept. Others are kept unless their distance is beyond the limit that leaves ``tail`` of
-    their group's distances, as their bulk has them (``limits``). Null text has no words; null language and source are values of their own; groups that are too
-    small share one estimate, and with too few rows for that all others are kept. Repeated rows
-    count each. Texts are read once and not shuffled; later steps use the statistics.
+    their group's distances, as their bulk has them (``limits``); a distance at the limit is kept. ``tail`` is the share
+    of regular texts that may be lost, a choice of policy. Null text has no words; null language and source are values
+    of their own. Groups of fewer than ``min_rows`` fitted rows are one group; if even that has fewer than two rows a
+    coordinate, they are not judged and kept, with a null distance. Repeated rows count each. Texts are read
+    once and not shuffled; later steps use the statistics. Other columns are not used.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     stats = statistics(docs)
-    rows = stats.select("doc_id", key("lang").alias("_l"), key("source").alias("_s"), *NAMES, base_failed().alias("base_failed"), *[v.alias(x) for x, v in zip(X + E, vector() + noise(), strict=True)])
+    rows = stats.select("doc_id", key("lang").alias("_a"), key("source").alias("_b"), *NAMES, base_failed().alias("base_failed"), *[v.alias(x) for x, v in zip(X + E, vector() + noise(), strict=True)])
     rows = written(rows, "stats")
-    fitted = rows.where(~F.col("base_failed"))
-    model, n = fit(fitted.select("_l", "_s", *X, *E), share, steps, min_rows)
-    model = written(limits(fitted.select("_l", "_s", *X), model, n, tail, min_rows), "limited")
-    out = rows.join(checked(model.drop("_n"), n), ["_l", "_s"], "left").withColumn("_d", _distance())
+    large = written(rows.where(~F.col("base_failed")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).drop("_n").withColumn("_own", F.lit(True)), "large")
+    own = lambda c: F.when(F.col("_own"), F.col(c)).otherwise(F.lit(REST))
+    rows = rows.join(checked(large), ["_a", "_b"], "left").withColumns({"_l": own("_a"), "_s": own("_b")})
+    fitted = rows.where(~F.col("base_failed")).select(*G, *X, *E)
+    few = fitted.where(F.col("_l") == REST).limit(2 * P).count() < 2 * P
+    if few:
+        fitted = fitted.where(F.col("_l") != REST)
+    model = limits(fitted, fit(fitted, share, steps), tail)
+    out = rows.join(checked(model.drop("_n", "_t", "_det")), G, "left").withColumn("_d", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= F.col("_far"), F.lit(True))
     return out.select("doc_id", *NAMES, "base_failed", F.sqrt(F.greatest("_d", F.lit(0.0))).alias("distance"), kept.alias("kept"))

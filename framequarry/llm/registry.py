@@ -69,10 +69,8 @@ f AS (SELECT source, tl, count(DISTINCT doc_id) AS n FROM t WHERE tl <> '' GROUP
 p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 bad AS (SELECT f.source, f.tl FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source WHERE n >= 5 AND n > CAST(0.02 AS DOUBLE) * pages),
 m AS (SELECT t.*, bad.tl IS NOT NULL AS is_bad FROM t LEFT JOIN bad ON t.source IS NOT DISTINCT FROM bad.source AND t.tl = bad.tl),
-g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE is_bad) AS nb, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT is_bad) AS kept,
-      bool_or(NOT is_bad AND tl <> '') AS has FROM m GROUP BY doc_id)
-SELECT d.doc_id, CAST(g.n_lines AS BIGINT) AS n_lines, CAST(CASE WHEN g.has THEN g.nb ELSE 0 END AS BIGINT) AS n_dropped,
-       sha256(CASE WHEN g.has AND g.nb > 0 THEN g.kept ELSE d.text END) AS text_sha256
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE is_bad) AS nb, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT is_bad) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(g.n_lines AS BIGINT) AS n_lines, CAST(g.nb AS BIGINT) AS n_dropped, sha256(CASE WHEN g.nb > 0 THEN coalesce(g.kept, '') ELSE d.text END) AS text_sha256
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 

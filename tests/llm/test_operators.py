@@ -94,6 +94,50 @@ def test_fingerprints_are_homomorphic(spark):
     assert r.order and r.added and r.removed and r.near > 0.5 > r.far
 
 
+def plain_fingerprint(spark, text):
+    """(printed fingerprint, the multiset's lanes as signed sums) from its definition, with Spark's hash of single strings."""
+    paragraphs = [p for p in text.split("\n") if p]
+    mark = lambda w: w + "\x01" if of[w] % fingerprint.CUT == 0 else w
+    words = sorted({w for p in paragraphs for w in p.split(" ")})
+    of = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pieces = [x for p in paragraphs for x in " ".join(map(mark, p.split(" "))).split("\x01") if x]
+    hashes = spark.createDataFrame([(x,) for x in sorted({*paragraphs, *pieces})], "w string").select("w", *[F.xxhash64(F.lit(i), "w").alias(f"h{i}") for i in range(6)]).collect()
+    h = {r.w: [r[f"h{i}"] % (1 << 64) for i in range(6)] for r in hashes}
+    check = [sum(h[p][i] % (1 << 48) for p in paragraphs) % (1 << 48) for i in range(4)]
+    near = [sum(h[x][k] >> j + s & 1 for x in pieces) for k in (4, 5) for j in range(32) for s in (0, 32)]
+    return f"{len(pieces):08x}" + "".join(f"{c:012x}" for c in check) + "".join(f"{c:08x}" for c in near)
+
+
+def plain_likeness(a, b):
+    """From two printed fingerprints alone."""
+    lanes = lambda f: np.array([2 * int(f[k : k + 8], 16) - int(f[:8], 16) for k in range(56, len(f), 8)], dtype=float)
+    x, y = lanes(a), lanes(b)
+    size = (x * x).sum() + (y * y).sum()
+    return 1.0 if a == b else max(0.0, min(1.0, 2 * (x * y).sum() / size)) if size else 0.0
+
+
+def test_fingerprints_against_plain(spark):
+    rows = [*corpus(7, 12), (900, "ж о у. Ü\n\nж\tx\x01y\nÜ 日本", None, None), (901, "", None, None)]
+    got = sorted(fingerprint.fingerprints(docs(spark, rows)).collect(), key=lambda r: -r.doc_id)
+    text = {r[0]: r[1] for r in rows}
+    for r, nxt in zip(got, [*got[1:], got[0]], strict=True):
+        assert r.fingerprint == plain_fingerprint(spark, text[r.doc_id])
+        assert math.isclose(r.near_edited, plain_likeness(r.fingerprint, r.edited_fingerprint), abs_tol=1e-9)
+        assert math.isclose(r.near_next, plain_likeness(r.fingerprint, nxt.fingerprint), abs_tol=1e-9)
+
+
+def test_an_id_of_many_buckets_is_split(spark):
+    rows = [(None if i % 3 else 7 if i % 2 else i, f"text {i}", None, None) for i in range(900)]
+    got = fingerprint.with_next(docs(spark, rows), per_task=40).select("doc_id", "text", "next_text").collect()
+    after = {r.text: r.next_text for r in got}
+    assert len(after) == 900 and set(after.values()) == set(after)
+    ids, t, seen = {r.text: r.doc_id for r in got}, "text 894", []
+    for _ in range(900):
+        seen.append(ids[t])
+        t = after[t]
+    assert seen == sorted(seen, key=lambda i: (i is None, -(i or 0)))
+
+
 def test_fingerprints_odd(odd, none):
     got = fingerprint.fingerprints(odd).collect()
     assert len(got) == len(ODD)
@@ -130,22 +174,59 @@ def test_quality_rejects_outliers_only(spark):
     assert sum(r.base_failed for r in got.values()) == 0
 
 
-def test_minimum_determinant_ignores_contamination(spark):
+def vectors(spark, x, noise=0.0):
+    names = ", ".join(f"{c} double" for c in quality.X + quality.E)
+    return spark.createDataFrame([("", "", *map(float, v), *[noise] * quality.P) for v in x], "_l string, _s string, " + names)
+
+
+def plain_mcd(x, share, rng, starts=60):
+    """The least log determinant over C-steps from random subsets, exact at every step."""
+    h, best = math.ceil(share * len(x)), (math.inf, None)
+    for _ in range(starts):
+        some, last = x[rng.choice(len(x), quality.P + 2, replace=False)], math.inf
+        while True:
+            m, c = some.mean(axis=0), np.cov(some.T, bias=True) + 1e-12 * np.eye(quality.P)
+            det = np.linalg.slogdet(c)[1]
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            some = x[np.argsort(d)[:h]]
+            if len(some) == h and det >= last - 1e-9:
+                break
+            last = det
+        best = min(best, (det, tuple(m)))
+    return best
+
+
+def test_minimum_determinant_against_plain(spark):
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(0.3, 0.02, (700, quality.P)), rng.normal(0.9, 0.01, (200, quality.P))
-    rows = spark.createDataFrame([("", "", *map(float, x)) for x in np.concatenate((good, bad))], "_l string, _s string, " + ", ".join(f"{x} double" for x in quality.X))
-    model, n = quality.fit(rows, share=0.75)
-    assert n == 1
-    assert np.allclose([model.first()[f"_m{i}"] for i in range(quality.P)], 0.3, atol=0.01)
+    turn = rng.normal(0, 1, (quality.P, quality.P)) * 0.02
+    x = np.concatenate((0.3 + rng.normal(0, 1, (700, quality.P)) @ turn, 0.36 + rng.normal(0, 1, (160, quality.P)) @ turn * 0.1))
+    rows = vectors(spark, x)
+    best = quality.fit(rows, share=0.75).collect()
+    assert len(best) == 1
+    det, centre = plain_mcd(x, 0.75, rng)
+    scale = 0.75 / quality._chi2_cdf(quality.chi2_quantile(0.75, quality.P), quality.P + 2)
+    assert abs(best[0]._det - det - quality.P * math.log(scale)) < 0.05  # a thousandth is taken off the correlations
+    assert np.allclose([best[0][f"_m{i}"] for i in range(quality.P)], centre, atol=0.01)
+
+
+def test_steps_never_raise_the_determinant(spark):
+    rng = np.random.default_rng(3)
+    rows = vectors(spark, np.concatenate((rng.normal(0.3, 0.02, (500, quality.P)), rng.normal(0.5, 0.2, (150, quality.P)))))
+    now, last = quality.starts(rows), {}
+    assert {r._t for r in now.collect()} == {0, 1, 2, 3}
+    for _ in range(4):
+        now = quality.c_step(rows, now, 0.75)
+        dets = {r._t: r._det for r in now.collect()}
+        assert all(dets[t] <= d + 1e-3 for t, d in last.items())  # rows of one interval of distances count alike
+        last = dets
+    assert quality.fit(rows).first()._det <= min(last.values()) + 1e-3
 
 
 def test_fitted_spread_decides_unless_degenerate(spark):
     rng = np.random.default_rng(1)
     x, zero = rng.normal(0.3, 0.02, (1000, quality.P)), 2
     x[:, zero] = 0.0
-    names = ", ".join(f"{c} double" for c in quality.X + quality.E)
-    rows = spark.createDataFrame([("", "", *map(float, v), *[0.01**2] * quality.P) for v in x], "_l string, _s string, " + names)
-    model = quality.fit(rows)[0].first()
+    model = quality.fit(vectors(spark, x, 0.01**2)).first()
     sd = [model[f"_i{i}{i}"] ** -0.5 for i in range(quality.P)]
     assert np.allclose(sd, [0.01 if i == zero else 0.02 for i in range(quality.P)], rtol=0.2)
 
@@ -163,6 +244,24 @@ def test_words_repeated_at_once_are_rejected(spark):
     assert abs(quality._chi2_cdf(6.3458, 7) - 0.5) < 1e-4
 
 
+def test_verdicts_follow_from_distances(spark):
+    """Distance and limit of each group, recomputed from the returned rows alone."""
+    from statistics import NormalDist
+
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["the", "lake,", "House", "window", "under", "some.", "#river", "walks"]) for _ in range(rng.randint(30, 300)))
+    rows = [(i, "#$% " * 60 + text() if i % 40 == 0 else text(), "en", rng.choice("ab")) for i in range(800)] + [(5000 + i, text(), "fr", None) for i in range(9)]
+    got = quality.judge(docs(spark, rows)).collect()
+    source, z = {r[0]: r[3] for r in rows}, NormalDist().inv_cdf(1 - 5e-4) / NormalDist().inv_cdf(0.75)
+    for s in "ab":
+        d = sorted(r.distance for r in got if source[r.doc_id] == s and not r.base_failed)
+        mid, upper = (d[math.ceil(len(d) * p) - 1] ** (2 / 3) for p in (0.5, 0.75))
+        far = max((mid + z * (upper - mid)) ** 3, quality.chi2_quantile(1 - 5e-4, quality.P)) ** 0.5
+        assert all(r.kept == (r.distance <= far) for r in got if source[r.doc_id] == s and not r.base_failed and abs(r.distance / far - 1) > 0.01)
+    few = [r for r in got if r.doc_id >= 5000]
+    assert len(few) == 9 and all(r.distance is None and r.kept != r.base_failed for r in few)
+
+
 def test_quality_odd(odd, none):
     got = quality.judge(odd).collect()
     assert len(got) == len(ODD)
@@ -218,7 +317,7 @@ def plain_lines(rows, ratio, least):
     for i, t, _, s in rows:
         if t is not None:
             kept = [x for x in t.split("\n") if not (strip(x) and found[s, strip(x)] >= least and found[s, strip(x)] > ratio * pages[s])]
-            t = "\n".join(kept) if any(map(strip, kept)) else t
+            t = "\n".join(kept)
         out.append((i, t))
     return sorted(out)
 
@@ -232,6 +331,12 @@ def test_lines_against_plain(spark):
         assert sorted((r.doc_id, r.text) for r in got.collect()) == plain_lines(rows, ratio, least)
 
 
+def test_a_page_of_boilerplate_is_emptied(spark):
+    rows = [(i, "menu\nfooter" if i < 8 else f"menu\nown {i}", "en", "a") for i in range(10)]
+    got = {r.doc_id: (r.text, r.size) for r in linededup.drop_boilerplate(docs(spark, rows), dropped="size").collect()}
+    assert got == {i: ("", 2) if i < 8 else (f"own {i}", 1) for i in range(10)}
+
+
 def test_lines_odd(odd, none):
     got = linededup.drop_boilerplate(odd, min_pages=1, dropped="gone")
     assert got.columns == [*odd.columns, "gone"] and got.count() == len(ODD)
@@ -471,6 +576,32 @@ def test_components_of_a_chain(spark):
     assert all(roots[i] == 0 for i in range(41)) and roots[102] == 100
 
 
+def test_rows_of_one_id_keep_their_links(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"x{rng.randint(0, 999)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (5, b + " more"), (7, c), (None, c + " one"), (6, c + " one two"), (3, c + " one two"), (1, a)]
+    table = docs(spark, [(i, t, None, None) for i, t in rows])
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.cluster(table).collect()}
+    assert got == {(1, 56): 1, (5, 57): 1, (7, 56): 3, (None, 57): 3, (6, 58): 3, (3, 58): 3}
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.one_of_each(table).collect()) == sorted([(1, a), (1, b), (0, c + " one"), (3, c + " one two")])
+
+
+def test_place_filter_lets_all_wanted_through(spark):
+    places = [r.p for r in spark.range(3000).select(F.xxhash64("id").alias("p")).collect()]
+    wanted = spark.createDataFrame([(p,) for p in places[:1000]], "place long")
+    bitmap, bits = jaccard.place_filter(wanted, 1000)
+    hit = [bool(int(bitmap[p % 2**64 % bits >> 6]) >> (p % 2**64 % bits & 63) & 1) for p in places]
+    assert all(hit[:1000]) and sum(hit[1000:]) < 400
+
+
+def test_counts_of_prefixes():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1], list(range(200)))]
+    t, c = np.unique(np.concatenate(sets), return_counts=True)
+    sizes, length, total = jaccard._prefixes(sets, t, c)
+    # a set of 5 lists its 2 rarest tokens: 5 is in two sets, one of 1 to 4 in three or four
+    assert (sizes.tolist(), length.tolist()) == ([1, 5], [1, 4]) and total.tolist()[1] == 2 * (int(c[t == 5][0]) + 3)
+
+
 def test_jaccard_odd(odd, none):
     got = jaccard.cluster(odd).collect()
     assert len(got) == len(ODD)
