@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.llm import jaccard, langid, linededup, mixing, packing
-from framequarry.llm.common import table, written
+from framequarry.llm.common import scratch, table, written
 from framequarry.llm.registry import tokenizer
 
 
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # a stage's own tables go when its result is written; that of the stage before goes with the session
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

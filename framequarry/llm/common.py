@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +60,39 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read back: lineage ends here."""
+_open: list[list[str]] = []  # the folders written in each scratch block that is open
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder as Parquet and read back: lineage ends here.
+
+    In a scratch block the table goes with the block; with ``keep`` it stays as long as the block around it.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    for block in _open[-2:-1] if keep else _open[-1:]:
+        block.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at its end. What goes out must be written with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+        collect(spark)
+
+
+def collect(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are done: it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever the case."""
     have, name, n = {c.lower() for c in df.columns}, base, 0

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import checked, fresh, tidy, written
+from .common import checked, collect, fresh, scratch, tidy, written
 
 WORDS, PERCENT = 5, 80
 BLOCK = 128
@@ -527,14 +527,15 @@ def compare(base: DataFrame, groups: DataFrame, pairs: DataFrame, name: str) ->
     A bitmap of the places of the sets in a pair keeps other texts from being cut into sets; it is no
     larger than MAX_BITS whatever their number, and what it lets through is decided by the join. So texts are not moved, only sets.
     """
-    pairs = written(pairs.distinct(), f"pairs-{name}")
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
-    wanted = written(ends.select("sid").distinct().join(groups, "sid").select("sid", "name", "n", "place"), f"wanted-{name}")
-    bitmap, bits = place_filter(wanted, wanted.count())
-    sets = base.select("place", "text").mapInArrow(_tokens(pa.py_buffer(bitmap.tobytes()), bits), "name bigint, n bigint, tokens binary")
-    sets = sets.join(checked(wanted.select("sid", F.col("name").alias("_name"), F.col("n").alias("_n"))), (F.col("name") == F.col("_name")) & (F.col("n") == F.col("_n")))
-    both = ends.join(sets.select(F.col("sid").alias("_sid"), "tokens"), F.col("sid") == F.col("_sid")).select("a", "b", "sid", "tokens")
-    return written(both.repartition("a", "b").sortWithinPartitions("a", "b", "sid").mapInArrow(_compared, "a bigint, b bigint"), f"links-{name}")
+    with scratch(base.sparkSession):
+        pairs = written(pairs.distinct(), f"pairs-{name}")
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
+        wanted = written(ends.select("sid").distinct().join(groups, "sid").select("sid", "name", "n", "place"), f"wanted-{name}")
+        bitmap, bits = place_filter(wanted, wanted.count())
+        sets = base.select("place", "text").mapInArrow(_tokens(pa.py_buffer(bitmap.tobytes()), bits), "name bigint, n bigint, tokens binary")
+        sets = sets.join(checked(wanted.select("sid", F.col("name").alias("_name"), F.col("n").alias("_n"))), (F.col("name") == F.col("_name")) & (F.col("n") == F.col("_n")))
+        both = ends.join(sets.select(F.col("sid").alias("_sid"), "tokens"), F.col("sid") == F.col("_sid")).select("a", "b", "sid", "tokens")
+        return written(both.repartition("a", "b").sortWithinPartitions("a", "b", "sid").mapInArrow(_compared, "a bigint, b bigint"), f"links-{name}", keep=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -544,27 +545,28 @@ def components(edges: DataFrame) -> DataFrame:
     of them. The smallest are written before they are joined, so that a node with a great many
     neighbours is either met by a broadcast of known size or split like any skewed key.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-
-    def smallest(rows: DataFrame) -> DataFrame:
-        """(_u, m): the least neighbour or itself, for each u of rows (u, v)."""
-        m = written(rows.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("_u"), F.least("u", "v").alias("m")), "least")
-        return checked(m)
-
-    last = None
-    while True:
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        large = both.where("v > u").join(smallest(both), F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
-        least = smallest(large)
-        small = large.join(least, F.col("u") == F.col("_u"))
-        e = written(small.select("v", "m").union(least.select("_u", "m")).toDF("a", "b").where("a <> b").distinct(), "edges")
-        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == last or not state[0]:
-            break
-        last = state
-    roots = e.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    with scratch(edges.sparkSession):
+        e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+
+        def smallest(rows: DataFrame) -> DataFrame:
+            """(_u, m): the least neighbour or itself, for each u of rows (u, v)."""
+            m = written(rows.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("_u"), F.least("u", "v").alias("m")), "least")
+            return checked(m)
+
+        last = None
+        while True:
+            both = e.union(e.select("b", "a")).toDF("u", "v")
+            large = both.where("v > u").join(smallest(both), F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = written(large, "large")
+            least = smallest(large)
+            small = large.join(least, F.col("u") == F.col("_u"))
+            e = written(small.select("v", "m").union(least.select("_u", "m")).toDF("a", "b").where("a <> b").distinct(), "edges")
+            state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if state == last or not state[0]:
+                break
+            last = state
+        roots = e.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
+        return written(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots", keep=True)
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -577,7 +579,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     empty table gives an empty table; other columns are not used. Whole texts are
     read twice, and those of candidate pairs again; moved are the lists, and the sets of such pairs.
     """
-    return _clustered(docs).drop("place")
+    return _clustered(docs).drop("place")  # one narrow row per document
 
 
 def _place() -> Column:
@@ -587,31 +589,35 @@ def _place() -> Column:
 
 def _clustered(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _place().alias("place"))
-    found = written(base.mapInArrow(_sets, "kind int, a bigint, b bigint, c bigint, d bigint"), "sets")
-    of_docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("name"), F.col("d").alias("place"))
-    groups = of_docs.where("n > 0").groupBy("n", "name").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"))
-    groups = written(groups.withColumn("sid", F.monotonically_increasing_id()), "groups")
-    postings = base.select("text").mapInArrow(_postings(order_of(found)), "key bigint, name bigint, n int, bits binary")
-    lists = postings.repartition(F.coalesce("key", "name")).sortWithinPartitions("key", "n", "name")
-    tiles = written(lists.mapInArrow(_tiles, "t1 bigint, t2 bigint, name bigint, n int, bits binary"), "tiles")
-    sets = tiles.where("bits is not null").groupBy("name", "n").agg(F.first("bits").alias("bits"))
-    sets = sets.join(groups.select("name", F.col("n").cast("int").alias("n"), "sid"), ["name", "n"])
-    members = tiles.where("bits is null").select("t1", "t2", "name", "n").distinct()
-    tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "sid", "n", "bits"), "tiled")
-    by_tile = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
-    first = compare(base, groups, by_tile(tiled).mapInArrow(_candidates(False), "a bigint, b bigint"), "first")
-    roots = written(components(first), "roots")
-    known = tiled.join(checked(roots), F.col("sid") == F.col("node"), "left").select("t1", "t2", "sid", "n", "bits", "root")
-    second = compare(base, groups, by_tile(known).mapInArrow(_candidates(True), "a bigint, b bigint"), "second")
-    roots = written(components(first.union(second)), "all-roots")
-    linked = written(groups.join(roots, F.col("sid") == F.col("node")).select("n", "name", "rep", "root"), "linked")
-    least = checked(written(linked.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least")), "least"))
-    linked = linked.join(least, F.col("root") == F.col("_root")).select("n", "name", "least")
-    alone = groups.join(roots, F.col("sid") == F.col("node"), "left_anti").select("n", "name", F.col("rep").alias("least"))
-    of_sets = linked.union(alone).toDF("_n", "_name", "component_id")
-    out = of_docs.join(of_sets, (F.col("n") == F.col("_n")) & (F.col("name") == F.col("_name")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "place")
+    with scratch(docs.sparkSession):
+        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _place().alias("place"))
+        found = written(base.mapInArrow(_sets, "kind int, a bigint, b bigint, c bigint, d bigint"), "sets")
+        of_docs = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("name"), F.col("d").alias("place"))
+        groups = of_docs.where("n > 0").groupBy("n", "name").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"))
+        groups = written(groups.withColumn("sid", F.monotonically_increasing_id()), "groups")
+        postings = base.select("text").mapInArrow(_postings(order_of(found)), "key bigint, name bigint, n int, bits binary")
+        lists = postings.repartition(F.coalesce("key", "name")).sortWithinPartitions("key", "n", "name")
+        tiles = written(lists.mapInArrow(_tiles, "t1 bigint, t2 bigint, name bigint, n int, bits binary"), "tiles")
+        collect(docs.sparkSession)
+        sets = tiles.where("bits is not null").groupBy("name", "n").agg(F.first("bits").alias("bits"))
+        sets = sets.join(groups.select("name", F.col("n").cast("int").alias("n"), "sid"), ["name", "n"])
+        members = tiles.where("bits is null").select("t1", "t2", "name", "n").distinct()
+        tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "sid", "n", "bits"), "tiled")
+        collect(docs.sparkSession)
+        by_tile = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+        first = compare(base, groups, by_tile(tiled).mapInArrow(_candidates(False), "a bigint, b bigint"), "first")
+        roots = components(first)
+        known = tiled.join(checked(roots), F.col("sid") == F.col("node"), "left").select("t1", "t2", "sid", "n", "bits", "root")
+        second = compare(base, groups, by_tile(known).mapInArrow(_candidates(True), "a bigint, b bigint"), "second")
+        roots = components(first.union(second))
+        linked = written(groups.join(roots, F.col("sid") == F.col("node")).select("n", "name", "rep", "root"), "linked")
+        least = checked(written(linked.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least")), "least"))
+        linked = linked.join(least, F.col("root") == F.col("_root")).select("n", "name", "least")
+        alone = groups.join(roots, F.col("sid") == F.col("node"), "left_anti").select("n", "name", F.col("rep").alias("least"))
+        of_sets = linked.union(alone).toDF("_n", "_name", "component_id")
+        out = of_docs.join(of_sets, (F.col("n") == F.col("_n")) & (F.col("name") == F.col("_name")), "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "place")
+        return written(out, "clustered", keep=True)
 
 
 def order_of(found: DataFrame) -> Order:
@@ -636,7 +642,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a kept doc_id with the same text are one; rows of one doc_id with different texts are
     judged each. A null doc_id is kept. An empty table gives an empty table.
     """
-    got = written(_clustered(docs), "clustered")
+    got = _clustered(docs)
     gone, place = fresh(docs, "_fq_gone"), fresh(docs, "_fq_place")
     out_of = written(got.where("component_id < doc_id").select(F.col("place").alias(gone)).distinct(), "gone")
     kept = docs.withColumn(place, _place()).join(checked(out_of), F.col(place) == F.col(gone), "left_anti").drop(place)

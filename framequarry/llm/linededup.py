@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, fresh, written
+from .common import checked, fresh, scratch, written
 
 
 def _trimmed(line: Column) -> Column:
@@ -54,18 +54,19 @@ def spared(docs: DataFrame, bad: DataFrame, one_of_each: Callable[[DataFrame], D
     asked again: of those pages, and of all the host's pages less the copies found. Only pages with such
     lines are compared, and nothing is added to bad.
     """
-    side = checked(bad).select(F.col("h").alias("_fq_h"), F.col("lines").alias("_fq_lines"))
-    have = written(docs.join(side, docs[host].eqNullSafe(side["_fq_h"])).where(F.arrays_overlap(_lines(), F.col("_fq_lines"))).select(*[docs[c] for c in docs.columns]), "have")
-    ones = written(one_of_each(have), "ones")
-    count = lambda df, n: df.groupBy(F.col(host).alias(f"_{n}")).agg(F.count(F.lit(1)).alias(n))
-    n_all, n_have, n_ones = count(docs, "n_all"), count(have, "n_have"), count(ones, "n_ones")
-    pages = n_all.join(n_have, F.col("_n_all").eqNullSafe(F.col("_n_have"))).join(n_ones, F.col("_n_all").eqNullSafe(F.col("_n_ones")))
-    pages = pages.select(F.col("_n_all").alias("hp"), (F.col("n_all") - F.col("n_have") + F.col("n_ones")).alias("pages"))
-    again = ones.select(F.col(host).alias("h"), F.explode(_lines()).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    over = again.join(pages, F.col("h").eqNullSafe(F.col("hp"))).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("h", "line")
-    was = bad.select(F.col("h").alias("_fq_h"), F.explode("lines").alias("_fq_line"))
-    still = over.join(was, F.col("h").eqNullSafe(F.col("_fq_h")) & (F.col("line") == F.col("_fq_line")), "left_semi")
-    return written(still.groupBy("h").agg(F.collect_list("line").alias("lines")), "spared")
+    with scratch(docs.sparkSession):
+        side = checked(bad).select(F.col("h").alias("_fq_h"), F.col("lines").alias("_fq_lines"))
+        have = written(docs.join(side, docs[host].eqNullSafe(side["_fq_h"])).where(F.arrays_overlap(_lines(), F.col("_fq_lines"))).select(*[docs[c] for c in docs.columns]), "have")
+        ones = written(one_of_each(have), "ones")
+        count = lambda df, n: df.groupBy(F.col(host).alias(f"_{n}")).agg(F.count(F.lit(1)).alias(n))
+        n_all, n_have, n_ones = count(docs, "n_all"), count(have, "n_have"), count(ones, "n_ones")
+        pages = n_all.join(n_have, F.col("_n_all").eqNullSafe(F.col("_n_have"))).join(n_ones, F.col("_n_all").eqNullSafe(F.col("_n_ones")))
+        pages = pages.select(F.col("_n_all").alias("hp"), (F.col("n_all") - F.col("n_have") + F.col("n_ones")).alias("pages"))
+        again = ones.select(F.col(host).alias("h"), F.explode(_lines()).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+        over = again.join(pages, F.col("h").eqNullSafe(F.col("hp"))).where(F.col("n") > F.lit(ratio) * F.col("pages")).select("h", "line")
+        was = bad.select(F.col("h").alias("_fq_h"), F.explode("lines").alias("_fq_line"))
+        still = over.join(was, F.col("h").eqNullSafe(F.col("_fq_h")) & (F.col("line") == F.col("_fq_line")), "left_semi")
+        return written(still.groupBy("h").agg(F.collect_list("line").alias("lines")), "spared", keep=True)
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_pages: int = 5, dropped: str | None = None, one_of_each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import checked, written
+from .common import checked, scratch, written
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_punct bigint, n_adjacent bigint"
@@ -269,16 +269,17 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 6) -> DataFrame:
     determinant falls. _e0 ... are the coordinates' noise, 0 if not given.
     """
     ship(rows.sparkSession)
-    rows = rows.withColumns({e: F.lit(0.0) for e in E if e not in rows.columns})
-    first = c_step(rows, starts(rows), share)
-    second = c_step(rows, first, share)
-    best, now = least(first.union(second)), least(second)
-    for _ in range(steps):
-        now = c_step(rows, now, share)
-        was, best = best, least(best.union(now))
-        if not best.alias("b").join(was.select(*G, F.col("_det").alias("_was")), G).where("_det < _was - 1e-6").limit(1).count():
-            break
-    return best
+    with scratch(rows.sparkSession):
+        rows = rows.withColumns({e: F.lit(0.0) for e in E if e not in rows.columns})
+        first = c_step(rows, starts(rows), share)
+        second = c_step(rows, first, share)
+        best, now = least(first.union(second)), least(second)
+        for _ in range(steps):
+            now = c_step(rows, now, share)
+            was, best = best, least(best.union(now))
+            if not best.alias("b").join(was.select(*G, F.col("_det").alias("_was")), G).where("_det < _was - 1e-6").limit(1).count():
+                break
+        return written(best, "model", keep=True)
 
 
 def limits(rows: DataFrame, model: DataFrame, tail: float) -> DataFrame:
