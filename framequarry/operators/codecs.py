@@ -129,7 +129,7 @@ def encode_png(w: int, h: int, rgb: np.ndarray, bits: int = 16, level: int = 6)
 
 
 def decode_ppm(d: bytes) -> Decoded:
-    import re
+    from .formats import ppm_words
 
     kind = d[:2]
     if kind == b"P7":
@@ -139,11 +139,10 @@ def decode_ppm(d: bytes) -> Decoded:
         w, h, channels, top = (int(fields[k]) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
         at = end + 7
     else:
-        m = re.match(rb"P[56Ff](?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(-?[\d.]+)\s", d[:4096])
-        _need(m is not None, "no PPM header")
-        w, h, at = int(m[1]), int(m[2]), m.end()
+        words, at = ppm_words(d)
+        _need(len(words) == 3 and words[0].isdigit() and words[1].isdigit() and d[at : at + 1].isspace(), "no PPM header")
+        w, h, top, at = int(words[0]), int(words[1]), float(words[2]), at + 1
         channels = 1 if kind in (b"P5", b"Pf") else 3
-        top = float(m[3])
     _need(0 < w * h <= MAX_PIXELS and 1 <= channels <= 4, "unsupported PPM layout")
     n = w * h * channels
     if kind in (b"PF", b"Pf"):
@@ -556,9 +555,24 @@ def encode(frames: DataFrame, kind: str = "png", bits: int = 16) -> DataFrame:
     return frames.select("img_id", "width", "height", "data").mapInArrow(run, f"img_id {dict(frames.dtypes)['img_id']}, content binary, error string")
 
 
+def _wide_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(origin, width, height, nChannels, data) of the image source: BGR turned to RGB, times 257; an image it could not read has negative sizes."""
+    for batch in batches:
+        for k in range(batch.num_rows):  # a row a batch: an image may be large
+            origin, w, h, channels, content = (batch.column(i)[k] for i in range(5))
+            w, h, channels = w.as_py(), h.as_py(), channels.as_py()
+            data = error = None
+            if (w or 0) > 0 and (h or 0) > 0 and channels in (1, 3, 4):
+                px = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, channels)
+                data = (px[:, [0, 0, 0] if channels == 1 else [2, 1, 0]].astype(np.int32) * 257).ravel()
+            else:
+                w = h = None
+                error = "not an image that the image source can read"
+            yield pa.RecordBatch.from_arrays([pa.array([origin.as_py()]), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([data], pa.list_(pa.int32())), pa.array([error], pa.string())], ["file_id", "width", "height", "data", "error"])
+
+
 def read_images(spark, path: str) -> DataFrame:
-    """JPEG and other 8-bit files by Spark's image source: BGR turned to RGB, times 257."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    cells = F.transform(F.split(F.regexp_replace(F.hex("data"), "(..)", "$1,"), ","), lambda h: F.conv(h, 16, 10).cast("int"))
-    px = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.array(*[F.element_at("_c", k * F.col("nChannels") + F.when(F.col("nChannels") >= 3, F.lit(3 - c)).otherwise(1)) * 257 for c in range(3)]))
-    return i.withColumn("_c", cells).select(F.col("origin").alias("file_id"), "width", "height", F.flatten(px).alias("data"))
+    """file_id (the file's place), width, height, data, error of JPEG and other 8-bit files, by Spark's image source; a file it cannot read has a row with ``error``."""
+    ship(spark)
+    i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    return i.mapInArrow(_wide_images, "file_id string, width int, height int, data array<int>, error string")

@@ -161,11 +161,19 @@ def ispe_size(d: bytes) -> tuple[int, int, None] | None:
     return best
 
 
-def ppm_size(d: bytes) -> tuple[int, int, int | None] | None:
+def ppm_words(d: bytes, n: int = 3) -> tuple[list[bytes], int]:
+    """The first n words after the kind, wherever comments and white space end, and the place behind the last."""
     import re
 
-    words = re.findall(rb"[^\s#]+", re.sub(rb"#[^\n]*", b" ", d[2:4096]))[:3]
-    numbers = [int(w) if w.isdigit() and int(w) < 1 << 32 else None for w in words]
+    word, words, at = re.compile(rb"(?:\s++|#[^\n]*+)*+([^\s#]+)"), [], 2
+    while len(words) < n and (m := word.match(d, at)):
+        words.append(m[1])
+        at = m.end()
+    return words, at
+
+
+def ppm_size(d: bytes) -> tuple[int, int, int | None] | None:
+    numbers = [int(w) if w.isdigit() and len(w) < 11 and int(w) < 1 << 32 else None for w in ppm_words(d)[0]]
     if len(numbers) < 2 or None in numbers[:2]:
         return None
     top = numbers[2] if len(numbers) > 2 else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.formats import probe
@@ -14,13 +14,19 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def images(spark: SparkSession, path: str, files_a_batch: int = 1000, max_bytes: int = 1 << 30) -> DataFrame:
-    """A stream of (path, modificationTime, length, content); larger files are left out before their content is read."""
-    return spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_batch).load(path).where(F.col("length") <= max_bytes)
+    """A stream of (path, modificationTime, length, content). Larger files have a null content, which is never read."""
+
+    def files(chosen: Column) -> DataFrame:
+        return spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_batch).load(path).where(chosen)
+
+    large = files(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return files(F.col("length") <= max_bytes).union(large)
 
 
 def probe_images(stream: DataFrame) -> DataFrame:
     """path, length, format, width, height, bit_depth, color, error of each file: a narrow map, so no watermark or state."""
-    return probe(stream.select("path", "length", "content")).drop("content")
+    got = probe(stream.select("path", "length", "content"))
+    return got.withColumn("error", F.when(F.col("content").isNull(), F.lit("too large to be read")).otherwise(F.col("error"))).drop("content")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ import pytest
 
 from framequarry.operators import codecs, formats, ifd
 from framequarry.operators.codecs import Unreadable
+from framequarry.streaming import ingest
 
 RNG = np.random.default_rng(7)
 
@@ -323,3 +324,24 @@ def test_stream_of_files(spark, tmp_path):
     q = probe_images(images(spark, str(files), 2)).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.format or "", r.height) for r in spark.read.parquet(str(out)).collect()) == [("", None), ("PNG", 1), ("PNG", 2), ("PNG", 3)]
+
+
+def test_ppm_comments_of_any_length(spark):
+    note = b"# " + b"x" * 10_000 + b"\n"
+    file = b"P6\n" + note + b"2 " + note + b"1\n" + note + b"65535\n" + bytes(range(12))
+    assert codecs.decode_ppm(file)[:2] == (2, 1)
+    rows = spark.createDataFrame([(1, bytearray(file)), (2, bytearray(b"P6 " + b" " * 20_000))], "file_id int, content binary")
+    got = {r.file_id: (r.width, r.height, r.bit_depth) for r in formats.probe(rows).collect()}
+    assert got == {1: (2, 1, 16), 2: (None, None, None)}
+
+
+def test_unreadable_and_large_files_have_rows(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(codecs.encode_png(3, 2, np.zeros((6, 3), dtype=np.int32), 8))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r.file_id[-5:]: (r.width, r.error is None) for r in codecs.read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (3, True), "b.png": (None, False)}
+    stream = ingest.probe_images(ingest.images(spark, str(tmp_path), max_bytes=20))
+    q = stream.writeStream.format("memory").queryName("probed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.path[-5:]: r.error for r in spark.table("probed").collect()}
+    assert got == {"a.png": "too large to be read", "b.png": "unrecognized image format"}
