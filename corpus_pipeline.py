@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
-#: SQL cannot express the stages; tests hold each against a plain version.
+#: SQL cannot express the stages. Their operators are held against plain versions; of the stages themselves, tests hold lines and near duplicates on planted groups.
 ORACLE_SQL = None
 
 
