@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 CHECK, CHECK_BITS = 4, 48
 NEAR_WORDS = 64  # longs that hold two lanes each
-CUT = 4  # words of a piece, on average
+CUT = 8  # words of a piece, on average
 MAX_BUCKETS = 200_000
 _MARK = "\x01"
 _PAIR = (1 << 32) | 1
