@@ -6,9 +6,12 @@ read gives a row with ``error``, and the job goes on.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +77,23 @@ PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
 
 
-def decode_png(d: bytes) -> Decoded:
+@dataclass(frozen=True)
+class Limits:
+    """What a PNG file may need at most; None is no limit. Metadata are the bytes of its text, EXIF and profile chunks."""
+
+    max_width: int | None = None
+    max_height: int | None = None
+    max_image_bytes: int | None = None
+    max_metadata_bytes: int | None = None
+
+
+def _within(n: int, limit: int | None, what: str) -> None:
+    _need(limit is None or n <= limit, f"{what} above the limit")
+
+
+def decode_png(d: bytes, limits: Limits = Limits()) -> Decoded:
     _need(d[:8] == b"\x89PNG\r\n\x1a\n", "no PNG signature")
-    at, idat, palette, head = 8, [], None, None
+    at, idat, palette, head, extra = 8, [], None, None, 0
     while at + 8 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, at)
         body = d[at + 8 : at + 8 + n]
@@ -86,6 +103,8 @@ def decode_png(d: bytes) -> Decoded:
             palette = np.frombuffer(body[: len(body) // 3 * 3], np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             idat.append(body)
+        elif kind in (b"eXIf", b"iCCP", b"iTXt", b"tEXt", b"zTXt"):
+            extra += len(body)
         elif kind == b"IEND":
             break
         at += 12 + n
@@ -93,6 +112,10 @@ def decode_png(d: bytes) -> Decoded:
     w, h, bits, kind, _, _, interlaced = head
     _need(kind in PNG_CHANNELS and bits in (1, 2, 4, 8, 16) and 0 < w * h <= MAX_PIXELS, "unsupported PNG layout")
     channels = PNG_CHANNELS[kind]
+    _within(w, limits.max_width, "width")
+    _within(h, limits.max_height, "height")
+    _within((w * channels * bits + 7) // 8 * h, limits.max_image_bytes, "image bytes")
+    _within(extra, limits.max_metadata_bytes, "metadata bytes")
     room = (w * channels * 2 + 8) * (h + 8) * 2
     raw = zlib.decompressobj().decompress(b"".join(idat), room)
     out = np.zeros((h, w, channels), dtype=np.int32)
@@ -120,10 +143,40 @@ def decode_png(d: bytes) -> Decoded:
     return w, h, _rgb(out, channels)
 
 
-def encode_png(w: int, h: int, rgb: np.ndarray, bits: int = 16, level: int = 6) -> bytes:
+#: Deflate levels of the PNG encoder by name.
+LEVELS = {"store": 0, "fast": 1, "default": 6, "best": 9}
+FILTERS = ("none", "sub", "up", "average", "paeth")
+
+
+def _filtered(lines: np.ndarray, back: int) -> np.ndarray:
+    """(5, rows, bytes): the lines under each of FILTERS."""
+    x = lines.astype(np.int16)
+    left, up, corner = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    left[:, back:], up[1:], corner[1:, back:] = x[:, :-back], x[:-1], x[:-1, :-back]
+    guess = left + up - corner
+    da, db, dc = abs(guess - left), abs(guess - up), abs(guess - corner)
+    paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+    return np.stack([x, x - left, x - up, x - (left + up) // 2, x - paeth]).astype(np.uint8)
+
+
+def encode_png(w: int, h: int, rgb: np.ndarray, bits: int = 16, level: int | str = 6, filter: str = "none") -> bytes:
+    """``filter`` is one of FILTERS for all lines, or ``min_sum_abs`` or ``brute_force``, which choose for each line. Pixels read back are the same for all."""
     _need(bits in (8, 16), "8 or 16 bits only")
+    _need(filter in (*FILTERS, "min_sum_abs", "brute_force"), "unknown filter")
     lines = (rgb.reshape(h, w * 3) >> 8).astype(np.uint8) if bits == 8 else rgb.reshape(h, w * 3).astype(">u2").view(np.uint8)
-    raw = np.concatenate((np.zeros((h, 1), np.uint8), lines), axis=1).tobytes()
+    level = LEVELS[level] if isinstance(level, str) else level
+    if filter == "none":
+        pick, body = np.zeros(h, np.uint8), lines
+    else:
+        every = _filtered(lines, 3 * bits // 8)
+        if filter == "min_sum_abs":
+            pick = abs(every.view(np.int8).astype(np.int64)).sum(axis=2).argmin(axis=0)
+        elif filter == "brute_force":
+            pick = np.array([min(range(5), key=lambda k: len(zlib.compress(every[k, y].tobytes(), level))) for y in range(h)])
+        else:
+            pick = np.full(h, FILTERS.index(filter))
+        body = every[pick, np.arange(h)]
+    raw = np.concatenate((pick.astype(np.uint8)[:, None], body), axis=1).tobytes()
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
 
@@ -231,8 +284,41 @@ def decode_gif(d: bytes) -> Decoded:
     return w, h, out.reshape(-1, 3)
 
 
+def unpack_runs(d: bytes, room: int) -> bytes:
+    """PackBits: a head below 128 copies that many and one, above 128 repeats the next byte 257 less head times, 128 is nothing."""
+    out, at = bytearray(), 0
+    while at + 1 < len(d) and len(out) < room:
+        n = d[at]
+        if n < 128:
+            out += d[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += d[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _unpacked(s: bytes, how: int, room: int) -> bytes:
+    s = s if how == 1 else _lzw(s, 8, False, 1, room) if how == 5 else unpack_runs(s, room) if how == 32773 else zlib.decompressobj().decompress(s, room)
+    _need(len(s) >= room, "TIFF data end early")
+    return s[:room]
+
+
+def tiff_cells(t: dict[int, list], w: int, h: int, layers: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(layer, x, y, width, height, offset, bytes) of each strip or tile. Tiles are whole, the last strip is as high as what is left."""
+    tiled = 324 in t
+    cw, ch = (t[322][0], t[323][0]) if tiled else (w, min(t[278][0] if t.get(278) else h, h))
+    _need(cw > 0 and ch > 0, "TIFF cells of no size")
+    across, down = -(-w // cw), -(-h // ch)
+    cells = list(zip(t[324 if tiled else 273], t[325 if tiled else 279], strict=True))
+    _need(len(cells) >= across * down * layers, "TIFF cells are missing")
+    for k in range(across * down * layers):
+        layer, (y, x) = k // (across * down), divmod(k % (across * down), across)
+        yield layer, x * cw, y * ch, cw, ch if tiled else min(ch, h - y * ch), *cells[k]
+
+
 def decode_tiff(d: bytes) -> Decoded:
-    """Uncompressed, LZW, PackBits-free Deflate strips of 8, 16 or 32 bits or FLOAT; gray, RGB, CMYK, with or without alpha."""
+    """Strips or tiles, plain, LZW, Deflate or PackBits, samples together or in planes, of 8, 16 or 32 bits or FLOAT; gray, RGB, CMYK, with or without alpha."""
     try:
         r = Reader(d)
         t = dict(r.directory(r.first)[0])
@@ -240,23 +326,19 @@ def decode_tiff(d: bytes) -> Decoded:
         raise Unreadable(str(e)) from None
     one = lambda tag, default=None: t[tag][0] if t.get(tag) else default
     w, h, bits, kind = one(256), one(257), one(258, 1), one(262, 1)
-    channels, how, predictor, sample = one(277, 1), one(259, 1), one(317, 1), one(339, 1)
-    _need(bool(w and h) and bits in (8, 16, 32) and how in (1, 5, 8, 32946) and one(284, 1) == 1 and 273 in t, "unsupported TIFF layout")
+    channels, how, predictor, sample, planar = one(277, 1), one(259, 1), one(317, 1), one(339, 1), one(284, 1)
+    _need(bool(w and h) and bits in (8, 16, 32) and how in (1, 5, 8, 32773, 32946) and planar in (1, 2) and (273 in t or 324 in t), "unsupported TIFF layout")
     _need(w * h <= MAX_PIXELS, "TIFF too large")
-    stride = w * channels * bits // 8
-    per = min(one(278, h), h)
-    rows = []
-    for i, (at, n) in enumerate(zip(t[273], t[279], strict=True)):
-        s = d[at : at + n]
-        room = stride * min(per, h - i * per)
-        s = s if how == 1 else _lzw(s, 8, False, 1, room) if how == 5 else zlib.decompressobj().decompress(s, room)
-        _need(len(s) >= room, "TIFF strip ends early")
-        rows.append(s[:room])
     letter = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4"}.get((bits, sample))
     _need(letter is not None, "unsupported TIFF sample type")
-    v = np.frombuffer(b"".join(rows), r.order + letter).reshape(h, w, channels)
-    if predictor == 2:
-        v = np.cumsum(v, axis=1, dtype=v.dtype)
+    layers, each = (channels, 1) if planar == 2 else (1, channels)
+    v = np.zeros((h, w, channels), letter)
+    for layer, x, y, cw, ch, at, n in tiff_cells(t, w, h, layers):
+        cell = np.frombuffer(_unpacked(d[at : at + n], how, cw * ch * each * bits // 8), r.order + letter).reshape(ch, cw, each)
+        if predictor == 2:
+            cell = np.cumsum(cell, axis=1, dtype=letter)
+        to = v[y : y + ch, x : x + cw, layer : layer + each]
+        to[:] = cell[: to.shape[0], : to.shape[1]]
     if letter == "f4":
         v = (np.clip(v, np.float32(0), np.float32(1)) * np.float32(65535)).astype(np.int32)
     else:
@@ -270,45 +352,52 @@ def decode_tiff(d: bytes) -> Decoded:
 # --- lossless JPEG -------------------------------------------------------------------------------
 
 
-class _Bits:
-    """Bits of a scan: stuffed zeros taken out, restart marks skipped, zeros after the end."""
+def _scan_bytes(data: bytes) -> bytes:
+    """Bytes of a scan up to the end mark: stuffed zeros taken out, restart marks skipped."""
+    stop = re.search(rb"\xff\xd9", data)
+    data = data[: stop.start()] if stop else data
+    return re.sub(rb"\xff(\x00|[\xd0-\xd7])", lambda m: b"\xff" if m[1] == b"\0" else b"", data)
 
-    def __init__(self, data: bytes):
-        clean, at = bytearray(), 0
-        while at < len(data):
-            b = data[at]
-            at += 1
-            if b == 0xFF and at < len(data):
-                if data[at] == 0:
-                    at += 1
-                elif 0xD0 <= data[at] <= 0xD7:
-                    at += 1
-                    continue
-                elif data[at] == 0xD9:
-                    break
-            clean.append(b)
-        self.value, self.left = int.from_bytes(clean), 8 * len(clean)
-        self.words, self.at = bytes(clean) + bytes(8), 0
-
-    def peek(self, n: int) -> int:
-        byte, bit = self.at >> 3, self.at & 7
-        part = self.words[byte : byte + 4].ljust(4, b"\0")
-        return int.from_bytes(part) >> 32 - bit - n & (1 << n) - 1
-
-    def take(self, n: int) -> int:
-        v = self.peek(n) if n else 0
-        self.at += n
-        return v
-
-
-def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    """(length, code): symbol of a canonical Huffman table."""
-    out, code, k = {}, 0, 0
+
+def _codes(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(length, symbol) of a canonical Huffman table by the next 16 bits; bits that begin no code are 16 long and mean 0."""
+    out: list[tuple[int, int]] = []
+    k = 0
     for length, n in enumerate(counts, 1):
-        for _ in range(n):
-            out[length, code] = symbols[k]
-            code, k = code + 1, k + 1
-        code <<= 1
+        for symbol in symbols[k : k + n]:
+            out += [(length, symbol)] * (1 << 16 - length)
+        k += n
+    return (out + [(16, 0)] * (65536 - len(out)))[:65536]
+
+
+NO_CODES = [(16, 0)] * 65536
+
+
+def _differences(scan: bytes, tables: list[list[tuple[int, int]]], n: int) -> np.ndarray:
+    """n differences, coded by the tables in turn; after the end of the scan its bits are zero."""
+    out, at, last, turns = [0] * n, 0, len(scan) - 5, len(tables)
+    for i in range(n):
+        byte, bit = at >> 3, at & 7
+        word = int.from_bytes(scan[byte : byte + 5] if byte <= last else scan[byte : byte + 5].ljust(5, b"\0"))
+        length, size = tables[i % turns][word >> 24 - bit & 0xFFFF]
+        at += length + size
+        if size:
+            v = word >> 40 - bit - length - size & (1 << size) - 1
+            out[i] = v if v >> size - 1 else v - (1 << size) + 1
+    return np.array(out, np.int64)
+
+
+def _from_left(diff: np.ndarray, first: int, top: int, below: int) -> np.ndarray:
+    """Samples predicted by their left neighbours, a line's first by the one above. Sums over whole lines, unless a sample leaves 0 .. top: then step by step, with ``below`` for one under 0 and top for one above."""
+    starts = first + np.cumsum(diff[:, 0])
+    out = np.cumsum(np.concatenate((starts[:, None], diff[:, 1:]), axis=1), axis=1)
+    if out.size and (out.min() < 0 or out.max() > top):
+        now = first
+        for y, line in enumerate(diff.tolist()):
+            for x, v in enumerate(line):
+                now = below if now + v < 0 else min(now + v, top)
+                out[y, x] = now
+            now = int(out[y, 0])
     return out
 
 
@@ -368,40 +457,30 @@ def decode_ljpeg(d: bytes, width: int | None = None, height: int | None = None)
     _need(frame is not None and scan is not None and len(order) in (1, 4), "no scan of one or four components")
     precision, h, w = frame
     w, h = width or w, height or h
-    first, top, bits = 1 << max(0, precision - shift - 1), (1 << precision) - 1, _Bits(scan)
-
-    def difference(table: dict[tuple[int, int], int]) -> int:
-        code = size = 0
-        for length in range(1, 17):
-            code = code << 1 | bits.take(1)
-            if (length, code) in table:
-                size = table[length, code]
-                break
-        v = bits.take(size)
-        return v if not size or v >> size - 1 else v - (1 << size) + 1
-
-    out = [[0] * w for _ in range(h)]
-    if len(order) == 1:
-        table, predict = tables.get(components[order[0]], {}), PREDICT.get(predictor, PREDICT[1])
-        for y in range(h):
-            for x in range(w):
-                a = out[y][x - 1] if x else first
-                b = out[y - 1][x] if y else first
-                guess = first if not x and not y else a if not y else b if not x else predict(a, b, out[y - 1][x - 1])
-                v = guess + difference(table)
-                out[y][x] = top if v < 0 else min(v, top)
+    first, top, clean = 1 << max(0, precision - shift - 1), (1 << precision) - 1, _scan_bytes(scan)
+
+    _need(0 < w * h <= MAX_PIXELS, "unsupported size")
+    use = [tables.get(components[c], NO_CODES) for c in order]
+    if len(order) == 4:
+        cells = _differences(clean, use, h // 2 * (w // 2) * 4).reshape(h // 2, w // 2, 4)
+        out = np.zeros((h, w), np.int64)
+        for c in range(4):
+            out[c // 2 : h // 2 * 2 : 2, c % 2 : w // 2 * 2 : 2] = _from_left(cells[..., c], first, top, 0)
+        return w, h, (out << shift & 0xFFFF).astype(np.int32)
+    diff = _differences(clean, use, w * h).reshape(h, w)
+    predict = PREDICT.get(predictor, PREDICT[1])
+    if predict is PREDICT[1]:
+        out = _from_left(diff, first, top, top)
     else:
-        use = [tables.get(components[c], {}) for c in order]
-        above = [first] * 4
-        for y in range(h // 2):
-            now = above
-            for x in range(w // 2):
-                now = [min(max(now[c] + difference(use[c]), 0), top) for c in range(4)]
-                if not x:
-                    above = now
-                for c in range(4):
-                    out[2 * y + c // 2][2 * x + c % 2] = now[c]
-    return w, h, (np.array(out, dtype=np.int64) << shift & 0xFFFF).astype(np.int32)
+        lines: list[list[int]] = []
+        for y, given in enumerate(diff.tolist()):
+            above, now = lines[-1] if y else [], []
+            for x, v in enumerate(given):
+                guess = (now[x - 1] if x else first) if not y else above[0] if not x else predict(now[x - 1], above[x], above[x - 1])
+                now.append(top if guess + v < 0 else min(guess + v, top))
+            lines.append(now)
+        out = np.array(lines, np.int64)
+    return w, h, (out << shift & 0xFFFF).astype(np.int32)
 
 
 # --- DNG -----------------------------------------------------------------------------------------
@@ -498,13 +577,45 @@ def _gain(body: bytes) -> dict:
     return {"name": "gain_map", **area, **dict(zip(names, f[8:], strict=True)), "gain": list(struct.unpack_from(f">{_gains(body)}f", body, GAIN_HEAD.size))}
 
 
+def apply_gain(rgb: np.ndarray, op: dict) -> np.ndarray:
+    """A gain map of an opcode list on a frame (rows, columns, 3), over the whole frame, clamped and cut."""
+    rows, cols, layers = op["rows"], op["cols"], op["map_planes"]
+    if not (rows and cols and layers and op["gain"]):
+        return rgb
+    table = np.array(op["gain"], np.float32).astype(np.float64).reshape(rows, cols, layers)
+
+    def grid(n: int, start: float, step: float, points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        relative = np.arange(n) / (n - 1) if n > 1 else np.full(n, 0.5)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = np.nan_to_num(np.clip((relative - start) / step, 0.0, points - 1.0))
+        low = np.floor(g).astype(np.int64)
+        return low, np.minimum(low + 1, points - 1), g - low
+
+    h, w, _ = rgb.shape
+    (y0, y1, fy), (x0, x1, fx) = grid(h, op["origin_v"], op["spacing_v"], rows), grid(w, op["origin_h"], op["spacing_h"], cols)
+    fy = fy[:, None]
+    out = rgb.copy()
+    for c in range(op["plane"], min(3, op["plane"] + op["planes"])):
+        t = table[..., min(c - op["plane"], layers - 1)]
+        gain = t[np.ix_(y0, x0)] * (1 - fy) * (1 - fx) + t[np.ix_(y0, x1)] * (1 - fy) * fx + t[np.ix_(y1, x0)] * fy * (1 - fx) + t[np.ix_(y1, x1)] * fy * fx
+        out[..., c] = np.clip(rgb[..., c] * gain, 0, 65535).astype(rgb.dtype)
+    return out
+
+
+def apply_opcodes(rgb: np.ndarray, listed: bytes) -> np.ndarray:
+    """The gain maps of an opcode list, in order; other opcodes leave linear RGB as it is."""
+    for op in opcodes(listed):
+        rgb = apply_gain(rgb, op) if op["name"] == "gain_map" else rgb
+    return rgb
+
+
 # --- over DataFrames -----------------------------------------------------------------------------
 
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {"PNG": decode_png, "PPM": decode_ppm, "GIF": decode_gif, "TIFF": decode_tiff}
 UNAVAILABLE = {"AVIF": "no hardware decoder", "HEIC": "no hardware decoder", "WebP": "no codec", "JXL": "no codec", "SVG": "no rasteriser", "APV": "video", "JPEG": "read JPEG by the image source"}
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):  # a row a batch: an image may be large
             part = batch.slice(k, 1)
@@ -512,7 +623,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = h = data = error = None
             if kind in DECODERS:
                 try:
-                    w, h, rgb = DECODERS[kind](content)
+                    w, h, rgb = decode_png(content, limits) if kind == "PNG" else DECODERS[kind](content)
                     data = rgb.ravel().astype(np.int32)
                 except (Unreadable, ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
                     error = f"{kind}: {e}"
@@ -521,38 +632,56 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([data], pa.list_(pa.int32())), pa.array([error], pa.string())], ["file_id", "format", "width", "height", "data", "error"])
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """(file_id, content) to file_id, format, width, height, data (r, g, b in turn), error; one row each, no shuffle."""
+def decode(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(file_id, content) to file_id, format, width, height, data (r, g, b in turn), error; one row each, no shuffle. ``limits`` hold for PNG files."""
     from .formats import sniff_standard
 
     ship(files.sparkSession)
     kind = dict(files.dtypes)["file_id"]
-    return files.select("file_id", sniff_standard(F.col("content")).alias("format"), "content").mapInArrow(_decode, f"file_id {kind}, format string, width int, height int, data array<int>, error string")
+    return files.select("file_id", sniff_standard(F.col("content")).alias("format"), "content").mapInArrow(partial(_decode, limits=limits), f"file_id {kind}, format string, width int, height int, data array<int>, error string")
+
+
+def _with_blocks(png: bytes, blocks: dict) -> bytes:
+    from .embedded import build_exif, with_png_blocks
 
+    notes = blocks.pop("notes", None)
+    if notes:
+        blocks["exif"] = build_exif(notes)
+    return with_png_blocks(png, **blocks) if any(blocks.values()) else png
 
-ENCODERS = {"png": lambda w, h, x, b: encode_png(w, h, x, b), "ppm": lambda w, h, x, b: encode_ppm(w, h, x, b), "dng": lambda w, h, x, b: encode_dng(w, h, x)}
 
+ENCODERS: dict[str, Callable[..., bytes]] = {
+    "png": lambda w, h, x, bits, blocks, **more: _with_blocks(encode_png(w, h, x, bits, **more), blocks),
+    "ppm": lambda w, h, x, bits, blocks: encode_ppm(w, h, x, bits),
+    "dng": lambda w, h, x, bits, blocks: encode_dng(w, h, x),
+}
+BLOCKS = ("exif", "icc", "xmp", "notes")
 
-def encode(frames: DataFrame, kind: str = "png", bits: int = 16) -> DataFrame:
-    """(img_id, width, height, data) to img_id, content, error. Only 8 and 16 bits can be written."""
+
+def encode(frames: DataFrame, kind: str = "png", bits: int = 16, **options) -> DataFrame:
+    """(img_id, width, height, data) to img_id, content, error. Only 8 and 16 bits can be written.
+
+    PNG takes ``level`` and ``filter`` (see encode_png), and the bytes of the columns exif, icc and xmp where there are any; EXIF may also come from a struct ``notes`` of typed fields.
+    A frame without samples, or of other size, gives an error row; one with an ``error`` keeps it.
+    """
     ship(frames.sparkSession)
-    make = ENCODERS[kind]
+    make, blocks, given = ENCODERS[kind], [c for c in BLOCKS if c in frames.columns], "error" in frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[bytes | None] = []
-            errors: list[str | None] = []
-            for w, h, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for k in range(batch.num_rows):  # a file a batch: it may be large
+                w, h = (batch.column(i)[k].as_py() for i in (1, 2))
+                content, error = None, batch.column(batch.num_columns - 1)[k].as_py() if given else None
                 try:
-                    _need(data is not None and len(data) == w * h * 3, "samples do not fill the frame")
-                    out.append(make(w, h, np.array(data, dtype=np.int32), bits))
-                    errors.append(None)
+                    _need(error is None, error or "")
+                    data = batch.column(3)[k].values
+                    _need(data is not None and bool(w and h) and len(data) == w * h * 3, "samples do not fill the frame")
+                    content = make(w, h, data.to_numpy(zero_copy_only=False).astype(np.int32), bits, {c: batch.column(4 + i)[k].as_py() for i, c in enumerate(blocks)}, **options)
                 except Unreadable as e:
-                    out.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["img_id", "content", "error"])
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["img_id", "content", "error"])
 
-    return frames.select("img_id", "width", "height", "data").mapInArrow(run, f"img_id {dict(frames.dtypes)['img_id']}, content binary, error string")
+    return frames.select("img_id", "width", "height", "data", *blocks, *["error"] * given).mapInArrow(run, f"img_id {dict(frames.dtypes)['img_id']}, content binary, error string")
 
 
 def _wide_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

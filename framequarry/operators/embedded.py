@@ -232,6 +232,7 @@ def build_exif(record_: dict) -> bytes:
 
 def srgb_profile() -> bytes:
     """A version 2.1 RGB display profile of the sRGB primaries under D50, with a gamma of 0x0238 / 256."""
+    # The colorants, the white and the gamma of the profile.
     xyz = lambda *v: b"XYZ \0\0\0\0" + b"".join(struct.pack(">i", round(x * 65536)) for x in v)
     curve = b"curv\0\0\0\0" + struct.pack(">IH", 1, 0x0238) + b"\0\0"
     text = b"sRGB\0"
@@ -255,5 +256,5 @@ def valid_profile(b: bytes | None) -> bool:
 def with_png_blocks(png: bytes, exif: bytes | None = None, icc: bytes | None = None, xmp: bytes | None = None) -> bytes:
     """A PNG with the blocks put after its header."""
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
-    new = (chunk(b"iCCP", b"icc\0\0" + zlib.compress(icc)) if icc else b"") + (chunk(b"eXIf", exif) if exif else b"") + (chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + xmp) if xmp else b"")
+    new = (chunk(b"iCCP", b"ICC Profile\0\0" + zlib.compress(icc)) if icc else b"") + (chunk(b"eXIf", exif) if exif else b"") + (chunk(b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + xmp) if xmp else b"")
     return png[:33] + new + png[33:]

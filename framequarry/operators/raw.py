@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..data.calibration import BAYER
 from ..ship import ship
-from . import isobmff
-from .codecs import Unreadable, decode_ljpeg, unpack_be16
+from . import embedded, isobmff
+from .codecs import Unreadable, apply_opcodes, decode_ljpeg, tiff_cells, unpack_be16
 from .formats import sniff_raw
 from .ifd import Reader
 
@@ -310,7 +310,10 @@ def read_cr3(d: bytes, samples: bool = True) -> tuple[Raw, np.ndarray | None]:
 
 
 def read_dng(d: bytes, samples: bool = True) -> tuple[Raw, np.ndarray | None]:
-    """CFA and three-plane linear data, uncompressed or lossless JPEG in strips; linearised by their table."""
+    """CFA and three-plane linear data in strips or tiles, linearised by their table.
+
+    Linear data are cut to the active area, and the gain maps of their second opcode list are applied.
+    """
     dirs, r = _tiff(d, "")
     kinds = (CFA_PHOTOMETRIC, LINEAR_PHOTOMETRIC)
     t = _sized(r, largest(dirs, lambda t: whole(t, 262) in kinds and not whole(t, 254)) or largest(dirs, lambda t: whole(t, 262) in kinds), 16)
@@ -331,18 +334,46 @@ def read_dng(d: bytes, samples: bool = True) -> tuple[Raw, np.ndarray | None]:
     planes = whole(t, 277, 1)
     if r.linear and planes != 3:
         raise Unreadable(f"linear data of {planes} planes")
-    if whole(t, 259, 1) == 1 and r.bit_depth == 16:
-        body = b"".join(cut_range(d, a, n) for a, n in zip(t.get(273, []), t.get(279, []), strict=True))
-        data = np.frombuffer(body[: len(body) // 2 * 2], Reader(d).order + "u2").astype(np.int32)
-    elif whole(t, 259) == LJPEG and not r.linear and len(t.get(273, [])) == 1:
-        data = _ljpeg(_strip(d, t), r.width, r.height)
-    else:
-        raise Unreadable("unsupported DNG layout")
+    data = _dng_samples(d, t, r, planes)
     table = t.get(0xC618)
     if table:
         data = np.array(table, np.int32)[np.minimum(data, len(table) - 1)]
         r.bit_depth = 16
-    return r, data
+    if not r.linear:
+        return r, data.ravel()
+    x, y, w, h = r.area
+    rgb = np.zeros((h, w, 3), np.int32)  # what the active area has beyond the samples stays zero
+    part = data[y : y + h, x : x + w]
+    rgb[: part.shape[0], : part.shape[1]] = part
+    r.width, r.height, r.area = w, h, [0, 0, w, h]
+    listed = first(t, 0xC741)
+    return r, (apply_opcodes(rgb, listed) if isinstance(listed, bytes) else rgb).ravel()
+
+
+def _dng_samples(d: bytes, t: Tags, r: Raw, planes: int) -> np.ndarray:
+    """(rows, columns, planes) of strips or tiles: plain samples of 8 to 16 bits, or lossless JPEG of one plane."""
+    how, bits = whole(t, 259, 1), r.bit_depth
+    plain = how == 1 and 8 <= bits <= 16 and whole(t, 284, 1) == 1
+    if not plain and not (how == LJPEG and planes == 1) or not (t.get(273) or t.get(324)):
+        raise Unreadable("unsupported DNG layout")
+    out = np.zeros((r.height, r.width, planes), np.int32)
+    for _, x, y, w, h, at, n in tiff_cells(t, r.width, r.height, 1):
+        part = cut_range(d, at, n)
+        cell = unpack_bits(part, w * planes, h, bits, Reader(d).order) if plain else _ljpeg(part, w, h)
+        to = out[y : y + h, x : x + w]
+        to[:] = cell.reshape(h, w, planes)[: to.shape[0], : to.shape[1]]
+    return out
+
+
+def unpack_bits(part: bytes, across: int, down: int, bits: int, order: str) -> np.ndarray:
+    """Lines of ``across`` samples; other than 8 and 16 bits are packed from the highest bit, each line from a whole byte."""
+    stride = (across * bits + 7) // 8
+    if len(part) < stride * down:
+        raise Unreadable("DNG data end early")
+    if bits in (8, 16):
+        return np.frombuffer(part, "u1" if bits == 8 else order + "u2", across * down).astype(np.int32)
+    lines = np.unpackbits(np.frombuffer(part, np.uint8, stride * down).reshape(down, stride), axis=1)[:, : across * bits]
+    return (lines.reshape(-1, bits) @ (1 << np.arange(bits - 1, -1, -1))).astype(np.int32)
 
 
 READERS = {"ARW": read_arw, "NEF": read_nef, "CR2": read_cr2, "RAF": read_raf, "CRW": read_crw, "CR3": read_cr3, "DNG": read_dng}
@@ -366,6 +397,24 @@ def thumbnail(d: bytes, kind: str) -> bytes | None:
     return cut_range(d, at, n) if n else None
 
 
+#: Fields of the ``exif`` column of ``metadata``.
+EXIF = [(n, k) for n, _, _, k in embedded.FIELDS if n not in ("make", "model", "orientation", "offset_time_original", "subsec_time_original")]
+EXIF_SCHEMA = ", ".join(f"{n}: {embedded.SPARK[k]}" for n, k in EXIF)
+EXIF_ARROW = pa.struct([(n, embedded.ARROW[k]) for n, k in EXIF])
+
+
+def exif(d: bytes, kind: str) -> dict | None:
+    """Capture, date, lens and place of the TIFF kinds; the time of the original goes first, references are one letter."""
+    if kind not in ("ARW", "NEF", "CR2", "DNG"):
+        return None
+    found = embedded.record(d)
+    for n in ("offset_time", "subsec_time"):
+        found[n] = found[n + "_original"] or found[n]
+    for n in ("gps_latitude_ref", "gps_longitude_ref"):
+        found[n] = found[n][:1] if found[n] else None
+    return {n: found[n] for n, _ in EXIF}
+
+
 def validate(kind: str, r: Raw) -> str | None:
     if r.width == 0 or r.height == 0:
         return "invalid dimensions"
@@ -378,7 +427,7 @@ def _read(samples: bool):
             for k in range(batch.num_rows):  # a file a batch: it may be large
                 part = batch.slice(k, 1)
                 kind, d = part.column(1)[0].as_py(), part.column(2)[0].as_py()
-                r, data, error, thumb = None, None, None, None
+                r, data, error, thumb, shot = None, None, None, None, None
                 if kind is None:
                     error = "unrecognized RAW format"
                 else:
@@ -387,13 +436,14 @@ def _read(samples: bool):
                         error = validate(kind, r)
                         if data is not None and len(data) != r.width * r.height * (3 if r.linear else 1):
                             data, error = None, f"got {len(data)} samples, expected {r.width} x {r.height}"
-                        thumb = None if samples else thumbnail(d, kind)
+                        if not samples:
+                            thumb, shot = thumbnail(d, kind), exif(d, kind)
                     except (Unreadable, ValueError, struct.error, IndexError, KeyError) as e:
                         r, error = None, f"{kind}: {e}"
                 row = asdict(r) if r else dict.fromkeys(NAMES)
                 cols = [pa.array([row[n]], ARROW[t]) for n, t in NAMES.items()]
-                last = pa.array([data], pa.list_(pa.int32())) if samples else pa.array([thumb], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols, last, pa.array([error], pa.string())], ["img_id", "format", *NAMES, "data" if samples else "thumbnail", "error"])
+                last = [pa.array([data], pa.list_(pa.int32()))] if samples else [pa.array([thumb], pa.binary()), pa.array([shot], EXIF_ARROW)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols, *last, pa.array([error], pa.string())], ["img_id", "format", *NAMES, *(["data"] if samples else ["thumbnail", "exif"]), "error"])
 
     return run
 
@@ -411,8 +461,8 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """The same without samples, and with the embedded thumbnail."""
-    return _rows(files, False, "thumbnail binary")
+    """The same without samples, and with the embedded thumbnail and, of the TIFF kinds, ``exif``."""
+    return _rows(files, False, f"thumbnail binary, exif struct<{EXIF_SCHEMA}>")
 
 
 def active(frames: DataFrame) -> DataFrame:

@@ -44,10 +44,10 @@ def finish(rgb: np.ndarray, options: Options) -> np.ndarray:
     return arrays.aberration(rgb, *options.ca) if options.ca else rgb
 
 
-def _develop(options: Options):
+def _develop(options: Options, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = dict(zip(IN, batch.columns, strict=True))
+            c = dict(zip((*IN, *keep), batch.columns, strict=True))
             lists = c["data"]
             values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             rows = {k: c[k].to_pylist() for k in IN if k not in ("data", "img_id")}
@@ -80,8 +80,8 @@ def _develop(options: Options):
                         out[i] = arrays.orient(table[one[0]], rows["orientation"][i])
             sizes = [(None, None) if o is None else (o.shape[1], o.shape[0]) for o in out]
             yield pa.RecordBatch.from_arrays(
-                [c["img_id"], *[pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1)], pa.array([None if o is None else np.ascontiguousarray(o).ravel() for o in out], pa.list_(pa.int32())), pa.array(errors, pa.string())],
-                ["img_id", "width", "height", "data", "error"],
+                [c["img_id"], *[pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1)], pa.array([None if o is None else np.ascontiguousarray(o).ravel() for o in out], pa.list_(pa.int32())), pa.array(errors, pa.string()), *[c[k] for k in keep]],
+                ["img_id", "width", "height", "data", "error", *keep],
             )
 
     return run
@@ -95,12 +95,13 @@ def _gains(neutral: list[float] | None, options: Options) -> list[float]:
     return [float(np.float32(1) / np.float32(v)) for v in neutral]
 
 
-def develop_frames(frames: DataFrame, options: Options = Options()) -> DataFrame:
-    """img_id, width, height, data (r, g, b in turn), error of frames as ``develop`` takes them."""
+def develop_frames(frames: DataFrame, options: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """img_id, width, height, data (r, g, b in turn), error of frames as ``develop`` takes them, and the columns of ``keep``."""
     ship(frames.sparkSession)
     c = lookup.cameras(frames.sparkSession).select("ordinal", lookup.camera_to_srgb(F.coalesce("cm2", "cm1")).cast("array<double>").alias("matrix"))
-    f = frames.join(F.broadcast(c), F.col("camera") == F.col("ordinal"), "left").select(*IN)
-    return f.mapInArrow(_develop(options), f"img_id {dict(frames.dtypes)['img_id']}, width int, height int, data array<int>, error string")
+    f = frames.join(F.broadcast(c), F.col("camera") == F.col("ordinal"), "left").select(*IN, *[frames[k] for k in keep])
+    more = "".join(f", {k} {dict(frames.dtypes)[k]}" for k in keep)
+    return f.mapInArrow(_develop(options, keep), f"img_id {dict(frames.dtypes)['img_id']}, width int, height int, data array<int>, error string{more}")
 
 
 def to_pixels(rgb: DataFrame) -> DataFrame:

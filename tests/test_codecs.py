@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import pytest
 
-from framequarry.operators import codecs, formats, ifd
+from framequarry.operators import codecs, embedded, formats, ifd
 from framequarry.operators.codecs import Unreadable
 from framequarry.streaming import ingest
+from tests.files import tiff as tree_file
 
 RNG = np.random.default_rng(7)
 
@@ -345,3 +346,47 @@ def test_unreadable_and_large_files_have_rows(spark, tmp_path):
     q.awaitTermination()
     got = {r.path[-5:]: r.error for r in spark.table("probed").collect()}
     assert got == {"a.png": "too large to be read", "b.png": "unrecognized image format"}
+
+
+@pytest.mark.parametrize("how", ["none", "sub", "up", "average", "paeth", "min_sum_abs", "brute_force"])
+@pytest.mark.parametrize("bits", [8, 16])
+def test_png_filters_and_levels(how, bits):
+    rgb = np.random.default_rng(3).integers(0, 256, (5 * 7, 3)).astype(np.int32) * 257
+    for level in codecs.LEVELS:
+        assert (codecs.decode_png(codecs.encode_png(7, 5, rgb, bits, level, how))[2] == rgb).all()
+
+
+def test_png_limits(spark):
+    png = codecs.encode_png(7, 5, np.zeros((35, 3), np.int32))
+    noted = embedded.with_png_blocks(png, exif=b"x" * 100)
+    for limits, name in [(codecs.Limits(max_width=6), "width"), (codecs.Limits(max_height=4), "height"), (codecs.Limits(max_image_bytes=209), "image bytes"), (codecs.Limits(max_metadata_bytes=99), "metadata bytes")]:
+        rows = codecs.decode(spark.createDataFrame([(0, bytearray(noted))], "file_id long, content binary"), limits).collect()
+        assert rows[0].data is None and name in rows[0].error
+    assert codecs.decode_png(noted, codecs.Limits(7, 5, 210, 100))[0] == 7
+
+
+def test_runs():
+    assert codecs.unpack_runs(bytes([2, 1, 2, 3, 254, 9, 128, 0, 7]), 7) == bytes([1, 2, 3, 9, 9, 9, 7])
+
+
+@pytest.mark.parametrize("planar", [1, 2])
+@pytest.mark.parametrize("tiled", [False, True])
+@pytest.mark.parametrize("how", [1, 8, 32773])
+def test_tiff_cells(planar, tiled, how):
+    h, w = 5, 7
+    x = np.random.default_rng(5).integers(0, 256, (h, w, 3)).astype(np.uint8)
+    layers = [x[..., c : c + 1] for c in range(3)] if planar == 2 else [x]
+    th, tw = (4, 4) if tiled else (2, w)
+    cells = []
+    for v in layers:
+        for y in range(0, h, th):
+            for left in range(0, w, tw):
+                cell = np.zeros((th if tiled else min(th, h - y), tw, v.shape[2]), np.uint8)
+                part = v[y : y + th, left : left + tw]
+                cell[: part.shape[0], : part.shape[1]] = part
+                cells.append(cell.tobytes())
+    literal = lambda b: b"".join(bytes([len(b[i : i + 128]) - 1]) + b[i : i + 128] for i in range(0, len(b), 128))
+    cells = [c if how == 1 else zlib.compress(c) if how == 8 else literal(c) for c in cells]
+    places = {322: (3, [4]), 323: (3, [4]), 324: ("blobs", list(range(len(cells)))), 325: (4, [len(c) for c in cells])} if tiled else {278: (3, [2]), 273: ("blobs", list(range(len(cells)))), 279: (4, [len(c) for c in cells])}
+    d = tree_file([{256: (3, [w]), 257: (3, [h]), 258: (3, [8, 8, 8]), 259: (3, [how]), 262: (3, [2]), 277: (3, [3]), 284: (3, [planar])} | places], "<", cells)
+    assert (codecs.decode_tiff(d)[2] == x.reshape(-1, 3).astype(np.int32) * 257).all()

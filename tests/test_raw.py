@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from framequarry.operators import codecs, embedded, isobmff, planes, raw
 from framequarry.plans.develop import Options, develop
+from framequarry.plans.develop_frames import develop_frames
+from framequarry.plans.export import export, save
 from tests.files import box, tiff
 from tests.test_codecs import ljpeg
 
@@ -112,6 +114,70 @@ def test_development_of_a_file(spark):
     assert develop(f, Options(demosaic="bilinear")).count() == 2 * W * H
 
 
+def test_capture_of_raw_files(spark):
+    shot = {0x9003: (2, b"2025:01:02 03:04:05\0"), 0x9010: (2, b"+01:00\0"), 0x9011: (2, b"+02:00\0"), 0x8827: (3, [400]), 0x829A: (5, [1, 125]), 0xA434: (2, b"35mm F2\0")}
+    place = {1: (2, b"N\0"), 2: (5, [43, 1, 39, 1, 0, 1])}
+    d = tiff([{271: (2, b"Apple\0"), 272: (2, b"x\0"), 256: (4, [2]), 257: (4, [2]), 258: (3, [16]), 262: (3, [32803]), 0xC612: (1, [1, 4, 0, 0]), 0x8769: [shot], 0x8825: [place]}])
+    e = raw.metadata(files(spark, d, fuji())).orderBy("img_id").collect()
+    assert e[1].exif is None
+    e = e[0].exif
+    assert (e.datetime_original, e.offset_time, e.iso, e.lens_model, e.gps_latitude_ref) == ("2025:01:02 03:04:05", "+02:00", 400, "35mm F2", "N")
+    assert (e.exposure_time.num, e.exposure_time.den) == (1, 125) and [x.num for x in e.gps_latitude] == [43, 39, 0] and e.flash is None
+
+
+def linear_dng(samples, h, w, more=(), **cells):
+    top = {256: (4, [w]), 257: (4, [h]), 258: (3, [16] * samples.shape[-1]), 259: (3, [1]), 262: (3, [34892 if samples.shape[-1] == 3 else 32803]), 271: (2, b"Apple\0"), 272: (2, b"x\0"), 277: (3, [samples.shape[-1]]), 0xC612: (1, [1, 4, 0, 0])}
+    return top | dict(more) | cells
+
+
+def tiles_of(samples, th, tw):
+    h, w, c = samples.shape
+    padded = np.zeros((-(-h // th) * th, -(-w // tw) * tw, c), samples.dtype)
+    padded[:h, :w] = samples
+    return [padded[y : y + th, x : x + tw] for y in range(0, h, th) for x in range(0, w, tw)]
+
+
+def test_linear_dng_is_cut_and_corrected(spark):
+    x = np.arange(6 * 8 * 3).reshape(6, 8, 3) * 100
+    gain = struct.pack(">8I", 0, 1, 0, 1, 6, 1, 8, 1)
+    body = gain + struct.pack(">6I", 0, 3, 1, 1, 1, 2) + struct.pack(">4d", 1.0, 1.0, 0.0, 0.0) + struct.pack(">I2f", 1, 1.0, 2.0)
+    listed = struct.pack(">I4I", 1, 9, 0, 0, len(body)) + body
+    blobs = [t.astype("<u2").tobytes() for t in tiles_of(x, 4, 4)]
+    more = {322: (4, [4]), 323: (4, [4]), 324: ("blobs", list(range(len(blobs)))), 325: (4, [len(b) for b in blobs]), 0xC68D: (4, [1, 2, 5, 7])}
+    plain, corrected, beyond = (tiff([linear_dng(x, 6, 8, more | extra)], "<", blobs) for extra in ({}, {0xC741: (7, listed)}, {0xC68D: (4, [0, 0, 7, 9])}))
+    got = {r.img_id: r for r in raw.read(files(spark, plain, corrected, beyond)).collect()}
+    cut = x[1:5, 2:7]
+    assert (got[0].width, got[0].height, got[0].error) == (5, 4, None) and got[0].data == cut.ravel().tolist()
+    want = (cut * np.linspace(1, 2, 5)[None, :, None]).clip(0, 65535)
+    assert np.abs(np.array(got[1].data).reshape(4, 5, 3) - want).max() <= 1 and got[1].data[:3] == cut[0, 0].tolist()
+    wide = np.array(got[2].data).reshape(7, 9, 3)
+    assert (wide[:6, :8] == x).all() and not wide[6].any() and not wide[:, 8].any()
+
+
+def test_packed_dng_samples(spark):
+    x = np.arange(5 * 7).reshape(5, 7, 1) * 29 % 4096
+    bits = (x.reshape(5, 7)[:, :, None] >> np.arange(11, -1, -1) & 1).reshape(5, -1).astype(np.uint8)
+    body = np.packbits(bits, axis=1).tobytes()
+    d = tiff([linear_dng(x, 5, 7, {258: (3, [12]), 273: ("blob", 0), 279: (4, [len(body)])})], "<", [body])
+    r = raw.read(files(spark, d, d[:-9])).orderBy("img_id").collect()
+    assert r[0].data == x.ravel().tolist() and r[0].white == 4095 and r[1].error and r[1].data is None
+
+
+def test_export(spark, tmp_path):
+    f = raw.read(files(spark, sony())).drop("img_id").withColumns({"img_id": F.lit("a/1"), "camera": F.lit(5), "exposure": F.lit(0.0), "neutral": F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))})
+    f = f.unionByName(f.withColumns({"img_id": F.lit("b"), "data": F.array(F.lit(1))}))
+    out = export(f, Options(demosaic="bilinear"), level="best", filter="min_sum_abs").orderBy("img_id").collect()
+    pixels = develop_frames(f, Options(demosaic="bilinear")).where("img_id = 'a/1'").first()
+    assert out[1].content is None and out[1].error == "samples do not fill the frame"
+    w, h, rgb = codecs.decode_png(bytes(out[0].content))
+    assert (w, h) == (pixels.width, pixels.height) and rgb.ravel().tolist() == pixels.data
+    e = embedded.read(files(spark, bytes(out[0].content))).first()
+    assert (e.make, e.orientation) == ("SONY", 1) and embedded.valid_profile(bytes(e.icc))
+    rows = {r.img_id: r for r in save(export(f, Options(demosaic="bilinear"), kind="ppm"), f"file://{tmp_path}/out", "ppm").collect()}
+    assert rows["b"].path is None and rows["b"].error
+    assert codecs.decode_ppm((tmp_path / "out" / "a%2F1.ppm").read_bytes())[2].ravel().tolist() == pixels.data and len(list((tmp_path / "out").iterdir())) == 1
+
+
 def test_embedded_records(spark):
     exif = embedded.build_exif({"make": "m", "model": "long model name", "orientation": 3, "iso": 70000, "exposure_time": {"num": 1, "den": 125}, "brightness_value": {"num": -7, "den": 2}, "datetime_original": "2025:01:15 10:30:00", "gps_latitude_ref": "N", "gps_latitude": [{"num": 43, "den": 1}, {"num": 39, "den": 1}, {"num": 0, "den": 1}], "gps_altitude_ref": 1, "gps_altitude": {"num": 76, "den": 1}})
     icc, xmp = embedded.srgb_profile(), b"<x:xmpmeta/>"
