@@ -1,4 +1,4 @@
-"""Pixels from and to files, by the standard library and numpy: PNG, GIF, TIFF, PPM, lossless JPEG, DNG.
+"""Pixels from and to files, by the standard library and numpy: PNG, GIF, TIFF, PPM, JPEG, lossless JPEG, DNG.
 
 All decode to 16-bit RGB: 8 bits times 257, gray three times, alpha dropped. A file that cannot be
 read gives a row with ``error``, and the job goes on.
@@ -611,8 +611,14 @@ def apply_opcodes(rgb: np.ndarray, listed: bytes) -> np.ndarray:
 
 # --- over DataFrames -----------------------------------------------------------------------------
 
-DECODERS: dict[str, Callable[[bytes], Decoded]] = {"PNG": decode_png, "PPM": decode_ppm, "GIF": decode_gif, "TIFF": decode_tiff}
-UNAVAILABLE = {"AVIF": "no hardware decoder", "HEIC": "no hardware decoder", "WebP": "no codec", "JXL": "no codec", "SVG": "no rasteriser", "APV": "video", "JPEG": "read JPEG by the image source"}
+def _jpeg(d: bytes) -> Decoded:
+    from .jpeg import decode_jpeg
+
+    return decode_jpeg(d)
+
+
+DECODERS: dict[str, Callable[[bytes], Decoded]] = {"PNG": decode_png, "PPM": decode_ppm, "GIF": decode_gif, "TIFF": decode_tiff, "JPEG": _jpeg}
+UNAVAILABLE = {"AVIF": "no hardware decoder", "HEIC": "no hardware decoder", "WebP": "no codec", "JXL": "no codec", "SVG": "no rasteriser", "APV": "video"}
 
 
 def _decode(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:

@@ -390,3 +390,56 @@ def test_tiff_cells(planar, tiled, how):
     places = {322: (3, [4]), 323: (3, [4]), 324: ("blobs", list(range(len(cells)))), 325: (4, [len(c) for c in cells])} if tiled else {278: (3, [2]), 273: ("blobs", list(range(len(cells)))), 279: (4, [len(c) for c in cells])}
     d = tree_file([{256: (3, [w]), 257: (3, [h]), 258: (3, [8, 8, 8]), 259: (3, [how]), 262: (3, [2]), 277: (3, [3]), 284: (3, [planar])} | places], "<", cells)
     assert (codecs.decode_tiff(d)[2] == x.reshape(-1, 3).astype(np.int32) * 257).all()
+
+
+def java_jpeg(spark, pixels, progressive=False, every=None):
+    """Written by the JVM; colour has halved chroma."""
+    jvm = spark._jvm
+    h, w = pixels.shape[:2]
+    gray = pixels.ndim == 2
+    img = jvm.java.awt.image.BufferedImage(w, h, 10 if gray else 1)
+    raster = img.getRaster()
+    for y in range(h):
+        for x in range(w):
+            for c, v in enumerate([pixels[y, x]] if gray else pixels[y, x]):
+                raster.setSample(x, y, c, int(v))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    if progressive:
+        param.setProgressiveMode(1)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.stream.MemoryCacheImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(img, None, None), param)
+    writer.getOutput().close()
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+@pytest.mark.parametrize("gray", [False, True])
+def test_jpeg_as_the_jvm_reads_it(spark, tmp_path, progressive, gray):
+    y, x = np.mgrid[:29, :37]
+    pixels = np.stack([128 + 90 * np.sin(x / 5 + c) * np.cos(y / (4 + c)) for c in range(3)], axis=-1).astype(int)
+    d = java_jpeg(spark, pixels[..., 0] if gray else pixels, progressive)
+    assert (b"\xff\xc2" in d) == progressive
+    (tmp_path / "a.jpg").write_bytes(d)
+    want = codecs.read_images(spark, str(tmp_path)).first()
+    got = codecs.decode(spark.createDataFrame([(1, bytearray(d)), (2, bytearray(d[:-60])), (3, bytearray(d[:40]))], "file_id long, content binary")).orderBy("file_id").collect()
+    assert (got[0].format, got[0].width, got[0].height, got[0].error) == ("JPEG", 37, 29, None)
+    off = np.abs(np.array(got[0].data) - np.array(want.data)) // 257
+    assert off.max() <= 4 and off.mean() < 0.6, (off.max(), off.mean())
+    assert all(r.data is None and r.error for r in got[1:])
+
+
+def test_jpeg_inks_are_folded(spark):
+    """A gray file's scan four times over is one of four equal inks."""
+    d = java_jpeg(spark, np.full((8, 8), 100))
+    one = codecs.DECODERS["JPEG"](d)[2][0, 0] // 257
+    frame = d.index(b"\xff\xc0")
+    scan = d.index(b"\xff\xda")
+    n = int.from_bytes(d[scan + 2 : scan + 4])
+    bits = d[scan + 2 + n : -2]
+    table = d[frame + 12 : frame + 13]
+    head = d[:frame] + b"\xff\xc0" + struct.pack(">HBHHB", 20, 8, 8, 8, 4) + b"".join(bytes([i, 0x11]) + table for i in (1, 2, 3, 4)) + d[frame + 13 : scan]
+    four = head + b"".join(b"\xff\xda" + struct.pack(">HBBB", 8, 1, i, 0) + b"\0\x3f\0" + bits for i in (1, 2, 3, 4)) + b"\xff\xd9"
+    p = one * one + 128
+    assert set(codecs.DECODERS["JPEG"](four)[2].ravel().tolist()) == {(p + (p >> 8) >> 8) * 257}
