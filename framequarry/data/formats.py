@@ -27,7 +27,7 @@ TAGS = {
 
 #: What this engine itself reads or writes pixels of; the others are probed and sniffed only.
 CODECS = [
-    ("png/zlib", "decode"), ("gif/lzw", "decode"), ("tiff/plain", "decode"), ("ppm/plain", "decode"), ("jpeg/imageio", "decode"), ("ljpeg/plain", "decode"),
+    ("png/zlib", "decode"), ("gif/lzw", "decode"), ("tiff/plain", "decode"), ("ppm/plain", "decode"), ("jpeg/dct", "decode"), ("ljpeg/plain", "decode"),
     ("png/zlib", "encode"), ("dng/plain", "encode"), ("ppm/plain", "encode"),
 ]
 

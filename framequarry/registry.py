@@ -17,6 +17,7 @@ from .operators import raw as raw_files
 from .operators import demosaic as dm
 from .plans.develop import Options, develop, develop_linear
 from .plans.develop_frames import develop_frames, to_pixels
+from .plans.export import export
 from .registry_sql import SQL
 from .ship import ship
 from .sources import derived as d
@@ -370,6 +371,13 @@ QUERIES["develop_frames_bilinear"] = _develop_frames(Options(demosaic="bilinear"
 QUERIES["develop_frames_auto"] = _develop_frames(Options())
 
 
+@query
+def export_png(s, at):
+    """Developed, written as PNG files with filters chosen by line, and read back."""
+    made = export(d.raw_frames(s, at), Options(demosaic="bilinear"), level="fast", filter="min_sum_abs")
+    return to_pixels(codecs.decode(made.withColumnRenamed("img_id", "file_id")).withColumnRenamed("file_id", "img_id"))
+
+
 @query
 def develop_linear_raw(s, at):
     p = d.rgb_pixels(s, at)

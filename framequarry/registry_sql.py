@@ -333,7 +333,7 @@ for _name, _method in demosaic_sql.METHODS.items():
     SQL[f"demosaic_{_name}"] = f"{PX}, {demosaic_sql.source(_name)}, {_method('src')} SELECT img_id, x, y, r, g, b FROM rgb"
 SQL["develop_auto"] = DEV + f", {demosaic_sql.source('amaze', 's4')}, {demosaic_sql.amaze('src')}" + finished("rgb", "img_id % 24", EV)
 SQL["develop_frames_auto"] = SQL["develop_auto"]
-SQL["develop_bilinear"] = SQL["develop_frames_bilinear"] = DEV + finished("s5", "img_id % 24", EV)
+SQL["develop_bilinear"] = SQL["develop_frames_bilinear"] = SQL["export_png"] = DEV + finished("s5", "img_id % 24", EV)
 shifted = lambda c: f"least(({c} // 4) * 4, 65535)"
 bal = lambda c, n: cut(f"CAST({shifted(c)} AS FLOAT) * (CAST(1 AS FLOAT) / {flt(n)})")
 SQL["develop_linear_raw"] = f"{RGB}, s5 AS (SELECT img_id, x, y, {bal('r', 0.5)} AS r, {bal('g', 1.0)} AS g, {bal('b', 0.625)} AS b FROM p)" + finished("s5", "img_id % 25", "1.0::DOUBLE")
