@@ -10,14 +10,19 @@ hold c common tokens with any partner. In the order, frequent tokens come last.
   sets large enough to have heavy partners. Lists are scanned for pairs.
 
 The boundary is where the cost of the subsets, summed over all sets of a size, exceeds that of the
-lists. A list's sets are cut into blocks; each pair of blocks is a tile, and tiles with equal
-members are one. No list meets in one task: those of frequent tokens are dealt over a grid.
+lists. A list is a tile, and lists with equal members are one, so a set has a row for each of its
+lists, however long they are. Only a list of more than GRID sets is cut into runs.
 
 In a tile, sets are held against each other by parity bitmaps: two sets differ in at least as many
 tokens as their bitmaps in bits, so a pair with too many is no link. What is left is compared
-exactly, in two rounds. The first takes a spanning forest of a tile, the likeliest pairs first;
-the links found join sets to components. The second takes the pairs across components that are
-left. So the pairs within a group of near copies are not written out.
+exactly, in rounds; the links found join sets to components, and each round leaves out pairs
+within one. So the pairs within a group of near copies are not written out.
+
+1. A spanning forest of each tile, the likeliest pairs first; of a long one, forests of its blocks,
+   each with the tile's middle set, so that the work grows with the list and not with its square.
+2. The pairs across components that are left in short tiles; in long ones a forest of components.
+3. What is left across components in long tiles, and between the runs of a list. There the sets
+   outside the list's largest component are held against all, and those within it only against these.
 """
 
 from __future__ import annotations
@@ -35,12 +40,12 @@ from ..ship import ship
 from .common import checked, collect, fresh, scratch, tidy, written
 
 WORDS, PERCENT = 5, 80
-BLOCK = 128
+BLOCK = 128  # sets held against each other at a time; a tile of more than two blocks is long
 LEAST_BITS = 1024  # of a bitmap
 TOP = 1 << 18  # frequent tokens that the order puts last; the order may be any, so this drops nothing
 DOCS = 128  # texts that are cut at a time
 CHUNK = 1_500_000  # tokens of which frequent ones are counted together
-GRID = 4096  # a token in more sets is dealt over a grid of this many sets a cell
+GRID = 4096  # a list of more sets is cut into runs of as many
 MAX_LIGHT = 64
 MAX_BITS = 1 << 28  # of the filter of the sets to be compared; past that it lets more through
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -219,7 +224,7 @@ class Order:
         return out
 
     def keys(self, s: np.ndarray, w: np.ndarray, name: int, percent: int = PERCENT) -> np.ndarray:
-        """The lists that one set is put into; w: the weights of its tokens."""
+        """The lists that one set is put into, whatever its name; w: the weights of its tokens."""
         n = len(s)
         order = np.lexsort((s, w))
         slack, out = n - ceil_share(n, percent), []
@@ -228,24 +233,11 @@ class Order:
             if len(p) >= 2:  # a set of one token has no partner but its equal
                 i, j = np.triu_indices(len(p), 1)
                 i, j = p[i], p[j]
-                out.append(self._dealt(_mix(s[i] * U(0x9E3779B97F4A7C15) + _mix(s[j] + U(2))), np.minimum(w[i], w[j]), name))
+                out.append(_mix(s[i] * U(0x9E3779B97F4A7C15) + _mix(s[j] + U(2))))
         if 100 * n > percent * self.light:  # may have a heavy partner, or is one
-            p = order[: slack + 1]
-            out.append(self._dealt(s[p], w[p], name))
+            out.append(s[order[: slack + 1]])
         return np.concatenate(out) if out else np.empty(0, dtype=U)
 
-    @staticmethod
-    def _dealt(lists: np.ndarray, sets: np.ndarray, name: int) -> np.ndarray:
-        """The lists themselves, and of each with many sets (at most ``sets``) the cells of its grid in which this set meets all others."""
-        hot = sets > GRID
-        out = [lists[~hot]]
-        for one, many in zip(lists[hot].tolist(), sets[hot].tolist(), strict=True):
-            g = -(-many // GRID)
-            mine = name % g
-            lo, hi = np.minimum(np.arange(g), mine).astype(U), np.maximum(np.arange(g), mine).astype(U)
-            out.append(_mix(_mix(U(one) + lo * U(0x9E3779B97F4A7C15)) + hi + U(7)))
-        return np.concatenate(out)
-
     def batch_keys(self, tokens: np.ndarray, off: np.ndarray, names: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, index of the set of each) of the wanted sets.
 
@@ -320,13 +312,18 @@ def _postings(order: Order):
     return run
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, name, n, bits) sorted by key, n, name: (t1, t2, name, n) of lists with two sets or more, in blocks.
+def _tiles(grid: int):
+    """From (key, name, n, bits) sorted by key, n, name: (t1, t2, list, m, name, n) of lists with two sets or more.
 
-    A tile is named by its members, so lists with the same members give the same tile. Rows without a
-    key, which bring a set's bitmap, are passed on.
+    A list ends where the next larger set is too large for a link, as if it were two. A tile is named by its members, so lists with the same members give the same tile. One of more than
+    ``grid`` sets comes in runs, each with the middle set of all; there ``list`` names the whole, else it is
+    null. m is the number of sets of a tile. Rows without a key, which bring a set's bitmap, are passed on.
     """
-    rest: tuple[np.ndarray, ...] | None = None
+    names = ["t1", "t2", "list", "m", "name", "n", "bits"]
+
+    def rows(t1, t2, whole, m, name, n) -> pa.RecordBatch:
+        whole = pa.nulls(len(n), pa.int64()) if whole is None else pa.array(np.full(len(n), whole).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), whole, pa.array(m.astype(np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.binary())], names)
 
     def of_lists(key: np.ndarray, name: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(key), dtype=bool)
@@ -334,102 +331,167 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, name, n = key[new], name[new], n[new]
         if not len(key):
             return
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        far = n[1:].astype(np.int64) * PERCENT > n[:-1].astype(np.int64) * 100  # sizes ascend: no pair across can reach the threshold
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | far)))
         count = np.diff(np.concatenate((first, [len(key)])))
         of = np.repeat(np.arange(len(first)), count)
-        small = (count[of] >= 2) & (count[of] <= 2 * BLOCK)
-        if small.any():
-            h = _mix(name.view(U) + n.astype(U) * U(0x9E3779B97F4A7C15))
-            t1 = np.add.reduceat(h, first)
-            t2 = np.add.reduceat(_mix(h + U(3)), first)
-            yield rows(t1[of][small], t2[of][small], name[small], n[small])
-        for i in np.flatnonzero(count > 2 * BLOCK):
+        h = _mix(name.view(U) + n.astype(U) * U(0x9E3779B97F4A7C15))
+        h2 = _mix(h + U(3))
+        t1, t2 = np.add.reduceat(h, first), np.add.reduceat(h2, first)
+        whole = (count[of] >= 2) & (count[of] <= grid)
+        if whole.any():
+            yield rows(t1[of][whole], t2[of][whole], None, count[of][whole], name[whole], n[whole])
+        for i in np.flatnonzero(count > grid):
             a, b = first[i], first[i] + count[i]
-            blocks = [(x, min(x + BLOCK, b)) for x in range(a, b, BLOCK)]
-            h = _mix(name.view(U) + n.astype(U) * U(0x9E3779B97F4A7C15))
-            for p, (a1, b1) in enumerate(blocks):
-                for a2, b2 in blocks[p:]:
-                    if n[a2] * PERCENT > 100 * n[b1 - 1]:
-                        break  # sizes ascend: no pair of these blocks can reach the threshold
-                    x = np.arange(a1, b1) if a1 == a2 else np.concatenate((np.arange(a1, b1), np.arange(a2, b2)))
-                    t1, t2 = h[x].sum(), _mix(h[x] + U(3)).sum()
-                    yield rows(np.full(len(x), t1), np.full(len(x), t2), name[x], n[x])
-
-    def rows(t1, t2, name, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(name), pa.array(n.astype(np.int32))], ["t1", "t2", "name", "n"]).append_column("bits", pa.nulls(len(n), pa.binary()))
+            for x in range(a, b, grid):
+                run = np.union1d(np.arange(x, min(x + grid, b)), [(a + b) // 2])
+                full = lambda v: np.full(len(run), v)  # noqa: B023, E731
+                yield rows(full(h[run].sum() ^ t1[i]), full(h2[run].sum() ^ t2[i]), t1[i] ^ _mix(t2[i : i + 1])[0], full(len(run)), name[run], n[run])
 
-    for batch in batches:
-        extra = batch.column(0).is_null()
-        if batch.column(0).null_count:
-            b = batch.filter(extra)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1), b.column(2), b.column(3)], ["t1", "t2", "name", "n", "bits"])
-            batch = batch.filter(pc.invert(extra))
-        cols = tuple(batch.column(i).to_numpy() for i in range(3))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            extra = batch.column(0).is_null()
+            if batch.column(0).null_count:
+                b = batch.filter(extra)
+                none = pa.nulls(len(b), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(b), pa.int32()), b.column(1), b.column(2), b.column(3)], names)
+                batch = batch.filter(pc.invert(extra))
+            cols = tuple(batch.column(i).to_numpy() for i in range(3))
+            if rest is not None:
+                cols = tuple(np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True))
+            if not len(cols[0]):
+                continue
+            cut = np.searchsorted(cols[0], cols[0][-1], side="left")  # the last list may go on in the next batch
+            yield from of_lists(*(c[:cut] for c in cols))
+            rest = tuple(c[cut:] for c in cols)
         if rest is not None:
-            cols = tuple(np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True))
-        if not len(cols[0]):
-            continue
-        cut = np.searchsorted(cols[0], cols[0][-1], side="left")  # the last list may go on in the next batch
-        yield from of_lists(*(c[:cut] for c in cols))
-        rest = tuple(c[cut:] for c in cols)
-    if rest is not None:
-        yield from of_lists(*rest)
-    tidy()
+            yield from of_lists(*rest)
+        tidy()
+
+    return run
+
+
+class Bitmaps:
+    """Of the sets of a tile: least(i, j), a number of tokens in which sets i and sets j differ at least, from sizes and bitmaps."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.length = n.astype(np.int64), np.array([len(b) for b in bits])
+        self.folds = {}  # Bitmaps of two lengths are compared at the shorter.
+        for m in np.unique(self.length).tolist():
+            long = self.length >= m
+            x = np.frombuffer(b"".join(folded(bits[i], m) if len(bits[i]) > m else bits[i] for i in np.flatnonzero(long)), dtype=U)
+            self.folds[m] = np.cumsum(long) - 1, np.ascontiguousarray(x.reshape(int(long.sum()), -1).T)
+
+    def least(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.abs(self.n[i][:, None] - self.n[j][None, :])
+        li, lj = self.length[i], self.length[j]
+        for m, (at, x) in self.folds.items():
+            a, b = np.flatnonzero(li >= m), np.flatnonzero(lj >= m)
+            if not len(a) or not len(b) or (li[a] > m).all() and (lj[b] > m).all():
+                continue
+            one, other = at[i[a]], at[j[b]]
+            differ = np.zeros((len(a), len(b)), dtype=np.int32)
+            for word in x:
+                differ += np.bitwise_count(word[one][:, None] ^ word[other][None, :])
+            cells = np.ix_(a, b)
+            out[cells] = np.where(np.minimum(li[a][:, None], lj[b][None, :]) == m, np.maximum(out[cells], differ), out[cells])
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a set of i and one of j that are not ruled out, the likeliest first; with j the same as i, each pair once.
+
+        Sets that reach the threshold differ in at most (100 - percent) / (100 + percent) of their summed sizes.
+        """
+        least, both = self.least(i, j), self.n[i][:, None] + self.n[j][None, :]
+        may = least * (100 + percent) <= both * (100 - percent)
+        a, b = np.nonzero(np.triu(may, 1) if j is i else may)
+        by = np.argsort(least[a, b] / both[a, b], kind="stable")
+        return i[a[by]], j[b[by]]
 
 
 def near_pairs(n: np.ndarray, bits: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the pairs i < j that sizes and bitmaps don't rule out, the likeliest first.
+    """(i, j) of the pairs i < j that sizes and bitmaps don't rule out, the likeliest first."""
+    every = np.arange(len(n))
+    return Bitmaps(n, bits).near(every, every, percent)
 
-    Sets that reach the threshold differ in at most (100 - percent) / (100 + percent) of their summed sizes.
-    Bitmaps of two lengths are compared at the shorter.
-    """
-    both = n[:, None] + n[None, :]
-    least = np.abs(n[:, None] - n[None, :])
-    length = np.array([len(b) for b in bits])
-    shorter = np.minimum(length[:, None], length[None, :])
-    for m in np.unique(length).tolist():
-        some = np.flatnonzero(length >= m)
-        x = np.frombuffer(b"".join(folded(bits[i], m) for i in some), dtype=U).reshape(len(some), -1)
-        differ = np.zeros((len(some), len(some)), dtype=np.int64)
-        for c in range(x.shape[1]):
-            differ += np.bitwise_count(x[:, c, None] ^ x[None, :, c])
-        at = np.ix_(some, some)
-        least[at] = np.where(shorter[at] == m, np.maximum(least[at], differ), least[at])
-    i, j = np.nonzero(np.triu(least * (100 + percent) <= both * (100 - percent), 1))
-    by = np.argsort(least[i, j] / both[i, j], kind="stable")
-    return i[by], j[by]
-
-
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
+
+def _find(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
     return x
 
 
-def _candidates(second: bool):
-    """From (t1, t2, sid, n, bits[, root]) sorted by tile: pairs (a, b) of sid to be compared exactly, a < b."""
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> np.ndarray:
+    """Of pairs, which come in parts, those that join two components first; label, the sets' components, is changed."""
+    out = []
+    for i, j in pairs:
+        while True:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                break
+            a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            of = np.sort(np.unique(np.stack((a, b), axis=1), axis=0, return_index=True)[1])
+            parent: dict[int, int] = {}
+            for k in of.tolist():  # one for each two components
+                x, y = (_find(parent, int(z)) for z in (a[k], b[k]))
+                if x != y:
+                    parent[y] = x
+                    out.append((i[k], j[k]))
+            known, at = np.unique(label, return_inverse=True)
+            label[:] = np.array([_find(parent, x) for x in known.tolist()], dtype=np.int64)[at]
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def across(maps: Bitmaps, root: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs of sets of different components of a tile, in parts; two blocks of one component are not held against each other."""
+    _, of, sets = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((maps.n, root, sets[of]))
+    blocks = [order[x : x + block] for x in range(0, len(order), block)]
+    ends = [(root[b].min(), root[b].max(), maps.n[b].min(), maps.n[b].max()) for b in blocks]
+    for p, x in enumerate(blocks):
+        for q in range(p, len(blocks)):
+            (r1, r2, lo, hi), (s1, s2, low, high) = ends[p], ends[q]
+            if r1 == r2 == s1 == s2 or low * PERCENT > 100 * hi or lo * PERCENT > 100 * high:
+                continue
+            i, j = maps.near(x, x if p == q else blocks[q])
+            apart = root[i] != root[j]
+            if apart.any():
+                yield i[apart], j[apart]
 
-    def of_tile(rep: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray) -> np.ndarray:
-        if len(rep) < 2 or second and (root == root[0]).all():
-            return np.empty((0, 2), dtype=np.int64)
+
+def _candidates(turn: int, block: int):
+    """From (t1, t2, sid, n, bits[, root]) sorted by tile: pairs (a, b) of sid to be compared exactly in a round, a < b. The third takes all pairs across components."""
+
+    def of_tile(rep: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray) -> Iterator[np.ndarray]:
+        if len(rep) < 2 or turn > 1 and (root == root[0]).all():
+            return
         if len(rep) == 2:  # most tiles
             m, total = min(map(len, bits)), int(n[0]) + int(n[1])
             one, other = (int.from_bytes(folded(x, m) if len(x) > m else x) for x in bits)
             near = max((one ^ other).bit_count(), abs(int(n[0]) - int(n[1]))) * (100 + PERCENT) <= total * (100 - PERCENT)
-            return np.sort(rep)[None] if near else np.empty((0, 2), dtype=np.int64)
-        pairs = np.stack(near_pairs(n.astype(np.int64), bits), axis=1)
-        if second:
-            pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+            if near:
+                yield np.sort(rep)[None]
+            return
+        maps, long = Bitmaps(n, bits), len(rep) > 2 * block
+        if turn == 1:
+            order = np.lexsort((rep, n))
+            blocks = [np.union1d(order[x : x + block], order[len(order) // 2]) for x in range(0, len(order), block)] if long else [order]
+            parent, joined = {}, []
+            for x in blocks:
+                for i, j in zip(*(y.tolist() for y in maps.near(x, x)), strict=True):
+                    a, b = _find(parent, i), _find(parent, j)
+                    if a != b:
+                        parent[b] = a
+                        joined.append((i, j))
+            yield np.sort(rep[np.array(joined, dtype=np.int64).reshape(-1, 2)], axis=1)
+        elif turn == 2 and long:
+            yield np.sort(rep[forest(across(maps, root, block), root.copy())], axis=1)
         else:
-            parent, forest = list(range(len(rep))), []
-            for i, j in pairs.tolist():
-                a, b = _find(parent, i), _find(parent, j)
-                if a != b:
-                    parent[b] = a
-                    forest.append((i, j))
-            pairs = np.array(forest, dtype=np.int64).reshape(-1, 2)
-        return np.sort(rep[pairs], axis=1)
+            for i, j in across(maps, root, block):
+                yield np.sort(np.stack((rep[i], rep[j]), axis=1), axis=1)
 
     def batch_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
         p = np.unique(np.concatenate(pairs), axis=0)
@@ -443,7 +505,7 @@ def _candidates(second: bool):
                 continue
             tile = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
             rep, n, bits = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            root = pc.coalesce(batch.column(5), batch.column(2)).to_numpy() if second else rep
+            root = pc.coalesce(batch.column(5), batch.column(2)).to_numpy() if turn > 1 else rep
             edges = [0, *(np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1).tolist(), len(rep)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 now = tuple(tile[a].tolist())
@@ -451,14 +513,20 @@ def _candidates(second: bool):
                     held = (now, np.concatenate((held[1], rep[a:b])), np.concatenate((held[2], n[a:b])), held[3] + bits[a:b], np.concatenate((held[4], root[a:b])))
                     continue
                 if held:
-                    found.append(of_tile(*held[1:]))
-                    size += len(found[-1])
+                    for pairs in of_tile(*held[1:]):
+                        found.append(pairs)
+                        size += len(pairs)
+                        if size > 200_000:
+                            yield batch_of(found)
+                            found, size = [], 0
                 held = (now, rep[a:b], n[a:b], bits[a:b], root[a:b])
+        if held:
+            for pairs in of_tile(*held[1:]):
+                found.append(pairs)
+                size += len(pairs)
                 if size > 200_000:
                     yield batch_of(found)
                     found, size = [], 0
-        if held:
-            found.append(of_tile(*held[1:]))
         if found:
             yield batch_of(found)
         del held, found
@@ -531,7 +599,9 @@ def compare(base: DataFrame, groups: DataFrame, pairs: DataFrame, name: str) ->
         pairs = written(pairs.distinct(), f"pairs-{name}")
         ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
         wanted = written(ends.select("sid").distinct().join(groups, "sid").select("sid", "name", "n", "place"), f"wanted-{name}")
-        bitmap, bits = place_filter(wanted, wanted.count())
+        if not (count := wanted.count()):
+            return base.sparkSession.createDataFrame([], "a bigint, b bigint")
+        bitmap, bits = place_filter(wanted, count)
         sets = base.select("place", "text").mapInArrow(_tokens(pa.py_buffer(bitmap.tobytes()), bits), "name bigint, n bigint, tokens binary")
         sets = sets.join(checked(wanted.select("sid", F.col("name").alias("_name"), F.col("n").alias("_n"))), (F.col("name") == F.col("_name")) & (F.col("n") == F.col("_n")))
         both = ends.join(sets.select(F.col("sid").alias("_sid"), "tokens"), F.col("sid") == F.col("_sid")).select("a", "b", "sid", "tokens")
@@ -582,6 +652,31 @@ def cluster(docs: DataFrame) -> DataFrame:
     return _clustered(docs).drop("place")  # one narrow row per document
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def runs_met(rows: DataFrame, grid: int) -> DataFrame:
+    """(t1, t2, sid, n, bits, root): tiles in which all sets of a list meet that have different roots, from rows (list, sid, n, bits, root), stored.
+
+    A set of the list's largest component has a row for every ``grid`` sets outside of it, and these a row for every ``grid``
+    sets of the list. A list of one component has none.
+    """
+    rows = rows.select("list", "sid", "n", "bits", "root").dropDuplicates(["list", "sid"])
+    sizes = rows.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
+    cells = lambda c: F.ceil(c / F.lit(grid)).cast("int")
+    most = F.max(F.struct("c", "root"))
+    lists = sizes.groupBy(F.col("list").alias("_list")).agg(most["root"].alias("_most"), cells(most["c"]).alias("_in"), cells(F.sum("c") - most["c"]).alias("_out")).where("_out > 0")
+    rows = rows.join(checked(written(lists, "lists")), F.col("list") == F.col("_list"))
+    own = F.pmod(F.xxhash64("sid"), F.when(F.col("root") == F.col("_most"), F.col("_in")).otherwise(F.col("_out"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    within = F.transform(upto("_out"), lambda k: F.xxhash64(F.lit("in"), F.col("_own"), k))
+    against = F.transform(upto("_in"), lambda k: F.xxhash64(F.lit("in"), k, F.col("_own")))
+    apart = F.transform(upto("_out"), lambda k: F.xxhash64(F.lit("out"), F.least(F.col("_own"), k), F.greatest(F.col("_own"), k)))
+    met = F.when(F.col("root") == F.col("_most"), within).otherwise(F.concat(against, apart))
+    return rows.withColumn("_own", own).select(F.col("list").alias("t1"), F.explode(met).alias("t2"), "sid", "n", "bits", "root")
+
+
 def _place() -> Column:
     """Tells rows apart by doc_id and text; of rows with both equal, any stands for all."""
     return F.xxhash64(F.lit(11), F.col("doc_id").cast("long"), "text")
@@ -597,19 +692,30 @@ def _clustered(docs: DataFrame) -> DataFrame:
         groups = written(groups.withColumn("sid", F.monotonically_increasing_id()), "groups")
         postings = base.select("text").mapInArrow(_postings(order_of(found)), "key bigint, name bigint, n int, bits binary")
         lists = postings.repartition(F.coalesce("key", "name")).sortWithinPartitions("key", "n", "name")
-        tiles = written(lists.mapInArrow(_tiles, "t1 bigint, t2 bigint, name bigint, n int, bits binary"), "tiles")
+        tiles = written(lists.mapInArrow(_tiles(GRID), "t1 bigint, t2 bigint, list bigint, m int, name bigint, n int, bits binary"), "tiles")
         collect(docs.sparkSession)
         sets = tiles.where("bits is not null").groupBy("name", "n").agg(F.first("bits").alias("bits"))
         sets = sets.join(groups.select("name", F.col("n").cast("int").alias("n"), "sid"), ["name", "n"])
-        members = tiles.where("bits is null").select("t1", "t2", "name", "n").distinct()
-        tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "sid", "n", "bits"), "tiled")
+        members = tiles.where("bits is null").select("t1", "t2", "list", "m", "name", "n").distinct()
+        tiled = written(members.join(sets, ["name", "n"]).select("t1", "t2", "list", "m", "sid", "n", "bits"), "tiled")
         collect(docs.sparkSession)
-        by_tile = lambda df: df.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
-        first = compare(base, groups, by_tile(tiled).mapInArrow(_candidates(False), "a bigint, b bigint"), "first")
-        roots = components(first)
-        known = tiled.join(checked(roots), F.col("sid") == F.col("node"), "left").select("t1", "t2", "sid", "n", "bits", "root")
-        second = compare(base, groups, by_tile(known).mapInArrow(_candidates(True), "a bigint, b bigint"), "second")
-        roots = components(first.union(second))
+
+        def found_in(rows: DataFrame, turn: int) -> DataFrame:
+            rows = rows.repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+            return compare(base, groups, rows.mapInArrow(_candidates(turn, BLOCK), "a bigint, b bigint"), f"round{turn}")
+
+        def known(rows: DataFrame) -> DataFrame:
+            return rows.join(checked(roots), F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+
+        tile = ["t1", "t2", "sid", "n", "bits"]
+        roots = components(found_in(tiled.select(*tile), 1))
+        second = found_in(known(tiled).select(*tile, "root"), 2)
+        roots = components(_edges(roots).union(second))
+        long = tiled.where(F.col("list").isNotNull() | (F.col("m") > 2 * BLOCK))
+        if not long.isEmpty():
+            long = written(known(long), "long")
+            third = found_in(long.where("list is null").select(*tile, "root").union(runs_met(long.where("list is not null"), GRID)), 3)
+            roots = components(_edges(roots).union(third))
         linked = written(groups.join(roots, F.col("sid") == F.col("node")).select("n", "name", "rep", "root"), "linked")
         least = checked(written(linked.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least")), "least"))
         linked = linked.join(least, F.col("root") == F.col("_root")).select("n", "name", "least")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framequarry.llm import fingerprint, jaccard, langid, linededup, mixing, packing, quality, sharding, tokenbin, tokens, urltrie
+from framequarry.llm.common import written
 from framequarry.llm.registry import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -530,6 +531,68 @@ def test_one_large_group(spark, monkeypatch):
     assert {r.component_id for r in jaccard.cluster(docs(spark, rows)).collect()} == {0}
 
 
+def drifting(seed):
+    """Texts of which neighbours link and far ones do not, all with lists in common, beside near copies of one text."""
+    rng = random.Random(seed)
+    words = [f"d{i}" for i in range(90)]
+    texts = [" ".join([*words[: 60 - k], *(f"e{i}" for i in range(k)), "the end of it all"]) for k in range(0, 50, 2)]
+    texts += [" ".join([*(f"c{i}" for i in range(50)), f"tail{k}"]) for k in range(40)]
+    rng.shuffle(texts)
+    return [(i * 3, t, "en", "s") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rows", [drifting(1), near_copies(3)], ids=["drifting", "near copies"])
+def test_long_lists_against_plain(spark, monkeypatch, rows):
+    """Blocks of two sets and runs of six: all rounds, and sets that meet only across the runs of a list."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "GRID", 6)
+    met = []
+    monkeypatch.setattr(jaccard, "runs_met", lambda rows, grid, f=jaccard.runs_met: met.append(f(rows, grid)) or met[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(docs(spark, rows)).collect()}
+    assert met and got == plain_components(rows)
+
+
+@pytest.mark.parametrize("m", [1000, 4000])
+def test_rows_of_a_list_grow_with_its_sets(m):
+    """One list: no more rows than sets and runs, no more pairs than sets, whatever the number of blocks."""
+    rng = np.random.default_rng(2)
+    names = np.sort(rng.integers(0, 1 << 62, m))
+    of_list = pa.RecordBatch.from_arrays([pa.array(np.full(m, 7)), pa.array(names), pa.array(np.full(m, 60, np.int32)), pa.nulls(m, pa.binary())], ["key", "name", "n", "bits"])
+    assert sum(b.num_rows for b in jaccard._tiles(jaccard.GRID)(iter([of_list]))) == m
+    assert sum(b.num_rows for b in jaccard._tiles(500)(iter([of_list]))) <= m + m // 500
+    base = rng.integers(0, 1 << 63, 57, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 1 << 63, 3, dtype=np.uint64)))) for _ in range(m)]
+    bits = jaccard.bitmaps(np.concatenate(sets), np.arange(m + 1) * 60, np.arange(m))
+    cols = [np.full(m, 1), np.full(m, 2), np.arange(m), np.full(m, 60, np.int32)]
+    tile = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(bits, pa.binary())], ["t1", "t2", "sid", "n", "bits"])
+    pairs = np.concatenate([np.stack([b.column(i).to_numpy() for i in (0, 1)], axis=1) for b in jaccard._candidates(1, jaccard.BLOCK)(iter([tile]))])
+    assert len(pairs) == m - 1 and set(pairs.ravel().tolist()) == set(range(m))  # a spanning tree
+    one = tile.append_column("root", pa.array(np.zeros(m, np.int64)))
+    assert sum(b.num_rows for turn in (2, 3) for b in jaccard._candidates(turn, jaccard.BLOCK)(iter([one]))) == 0
+
+
+def test_lists_end_where_sizes_are_too_far():
+    """80 of 100 may link, 79 of 100 may not: of five sets on a list, two and two are held against each other."""
+    n = np.array([79, 100, 125, 157, 190], np.int32)
+    of_list = pa.RecordBatch.from_arrays([pa.array(np.full(5, 7)), pa.array(np.arange(5)), pa.array(n), pa.nulls(5, pa.binary())], ["key", "name", "n", "bits"])
+    rows = [r for b in jaccard._tiles(jaccard.GRID)(iter([of_list])) for r in b.to_pylist()]
+    tiles = {t: sorted(r["n"] for r in rows if r["t1"] == t) for t in {r["t1"] for r in rows}}
+    assert sorted(tiles.values()) == [[100, 125], [157, 190]]
+
+
+def test_runs_meet_where_components_differ(spark):
+    """A list of 40 sets, of which 37 are one component; another of one component."""
+    rows = [(1, i, 50, b"", 0 if i < 37 else i) for i in range(40)] + [(2, i, 50, b"", 0) for i in range(30)]
+    table = written(spark.createDataFrame(rows, "list long, sid long, n int, bits binary, root long"), "met")
+    got = jaccard.runs_met(table, 10).collect()
+    tiles = {}
+    for r in got:
+        tiles.setdefault((r.t1, r.t2), set()).add(r.sid)
+    meet = {(a, b) for t in tiles.values() for a in t for b in t if a < b}
+    assert all((a, b) in meet for b in range(37, 40) for a in range(b))
+    assert {r.t1 for r in got} == {1} and len(got) == 37 + 3 * (4 + 1)
+
+
 def test_signatures_miss_no_pair():
     """For linked sets around the boundary the lists meet, whatever the boundary and the frequent tokens."""
     rng = np.random.default_rng(3)
