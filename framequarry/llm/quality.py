@@ -336,4 +336,4 @@ def judge(docs: DataFrame, tail: float = 5e-4, share: float = 0.75, steps: int =
     model = limits(fitted, fit(fitted, share, steps), tail)
     out = rows.join(checked(model.drop("_n", "_t", "_det")), G, "left").withColumn("_d", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= F.col("_far"), F.lit(True))
-    return out.select("doc_id", *NAMES, "base_failed", F.sqrt(F.greatest("_d", F.lit(0.0))).alias("distance"), kept.alias("kept"))
+    return out.select("doc_id", *NAMES, "base_failed", F.when(F.col("_d").isNotNull(), F.sqrt(F.greatest("_d", F.lit(0.0)))).alias("distance"), kept.alias("kept"))
