@@ -21,10 +21,16 @@ BROADCAST_BYTES = 32 << 20
 
 
 def tidy() -> None:
-    """Gives Arrow's free memory back to the system at the end of a task."""
+    """Gives Arrow's and the C library's free memory back to the system at the end of a task."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -178,7 +178,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(none), kind, np.int32)), *[pa.array(x.astype(np.int64)) for x in [*cols, none, none, none, none][:4]]], names)
 
     def frequent(tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t = np.sort(np.concatenate(tokens))
+        t = np.concatenate(tokens)
+        t.sort()
         edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
         t, c = t[edge[:-1]], np.diff(edge)
         yield rows(1, t[c >= 2].view(np.int64), c[c >= 2])

@@ -42,3 +42,21 @@ def test_near_copies_keep_their_lines_until_they_are_one(spark):
     assert all("menu" not in got[60 + i] for i in range(240))
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, clean, SF).collect()}
     assert left == {0, *range(60, 300)}
+
+
+def test_rows_grow_with_a_group_and_not_its_square(spark, monkeypatch):
+    rows = []
+    write = jaccard.written
+
+    def counted(df, name, keep=False):
+        out = write(df, name, keep)
+        if name == "tiled":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    for m in (600, 1200):
+        texts = [(i, " ".join([*(f"w{k}" for k in range(60)), f"tail{i}"]), "en", "a", 0) for i in range(m)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+        assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
+    assert rows[0] >= 600 and rows[1] <= 2.2 * rows[0]
