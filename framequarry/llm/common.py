@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,6 +101,22 @@ def collect(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def collect_executors(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that the heap which only garbage holds goes back to the system.
+
+    A heap grows with what a step allocates and stays as large in the steps that follow, where the largest
+    of all steps would count. One task a core, about a second for all; an executor whose cores are all busy may get none.
+    A local session has no executors but the driver's own process.
+    """
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+    except PySparkException:  # a platform may forbid reflection; garbage is then collected when the heap is full
+        pass
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever the case."""
     have, name, n = {c.lower() for c in df.columns}, base, 0

@@ -1,8 +1,13 @@
 """The pipeline on the smallest tables: what each stage keeps, and that it ends in packed pieces."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import corpus_pipeline
+import pyspark
 from framequarry.llm import jaccard
 from framequarry.llm.common import table
 
@@ -60,3 +65,45 @@ def test_rows_grow_with_a_group_and_not_its_square(spark, monkeypatch):
         docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
         assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
     assert rows[0] >= 600 and rows[1] <= 2.2 * rows[0]
+
+
+#: In a cluster of one executor: MB of its JVM after a step that leaves garbage, and after a stage has begun.
+STARTS = """
+import re, sys
+from pathlib import Path
+from pyspark.sql import SparkSession
+import corpus_pipeline
+from framequarry.llm.common import table
+spark = (SparkSession.builder.master("local-cluster[1,1,1200]").config("spark.executor.memory", "1200m").config("spark.ui.enabled", "false")
+    .config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "file://" + sys.argv[1]).getOrCreate())
+
+def mb():
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if "org.apache.spark.executor.CoarseGrainedExecutorBackend" in (p / "cmdline").read_text().split("\\0") and sys.argv[1] in (p / "environ").read_text():
+                return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", (p / "smaps_rollup").read_text()))) // 1024
+        except OSError:  # it has ended meanwhile
+            pass
+
+docs = table(spark, sys.argv[2], "documents").limit(20)
+for name, stage in corpus_pipeline.STAGES:
+    if name in ("language", "mix", "pack"):
+        spark.range(0, 4_000_000, 1, 1).selectExpr("id % 2 as k", "cast(id as string) as s").groupBy("k").agg({"s": "collect_list"}).write.format("noop").mode("overwrite").save()
+        before = mb()
+        stage(spark, docs, sys.argv[2])
+        print("MB", name, before, mb())
+"""
+
+
+def test_a_stage_begins_without_the_garbage_of_others(tmp_path):
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":  # where executors work
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYTHONPATH": str(Path(corpus_pipeline.__file__).parent)}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_SUBMIT_ARGS", "SPARK_CONF_DIR", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    got = subprocess.run([sys.executable, "-c", STARTS, str(tmp_path), SF], env=env, capture_output=True, text=True, timeout=300)
+    rows = [x.split()[1:] for x in got.stdout.splitlines() if x.startswith("MB ")]
+    assert [r[0] for r in rows] == ["language", "mix", "pack"], got.stderr[-2000:]
+    assert all(int(after) <= 0.75 * int(before) for _, before, after in rows), rows
