@@ -16,7 +16,8 @@ F32, TOP = np.float32, np.float32(65535)
 
 
 def _cut(x: np.ndarray) -> np.ndarray:
-    return np.clip(x, 0, 65535).astype(np.int32)
+    """Clamped and cut; NaN goes to 0, as in ``functions.numeric.clamp``."""
+    return np.fmin(np.fmax(x, F32(0)), TOP).astype(np.int32)
 
 
 def black(m: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -33,7 +34,7 @@ def mosaic_gains(m: np.ndarray, cfa: str, gains: np.ndarray) -> np.ndarray:
     out = np.empty(m.shape, np.int32)
     for k, c in enumerate(cfa):
         y, x = divmod(k, 2)
-        out[:, y::2, x::2] = _cut(m[:, y::2, x::2].astype(F32) * gains[:, "RGB".index(c), None, None].astype(F32))
+        out[:, y::2, x::2] = _cut(m[:, y::2, x::2].astype(F32) * gains[:, {"R": 0, "B": 2}.get(c, 1), None, None].astype(F32))
     return out
 
 
@@ -83,9 +84,10 @@ def gains(rgb: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def matrix(rgb: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """m: nine FLOAT, row by row; terms summed from the left."""
+    """m: nine FLOAT, row by row, or (frames, 9); terms summed from the left."""
     r, g, b = (rgb[..., c].astype(F32) for c in range(3))
-    return np.stack([_cut(r * m[3 * i] + g * m[3 * i + 1] + b * m[3 * i + 2]) for i in range(3)], axis=-1)
+    t = m.T[..., None, None] if m.ndim > 1 else m
+    return np.stack([_cut(r * t[3 * i] + g * t[3 * i + 1] + b * t[3 * i + 2]) for i in range(3)], axis=-1)
 
 
 def _srgb(x: np.ndarray) -> np.ndarray:

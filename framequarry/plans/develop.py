@@ -75,14 +75,16 @@ def develop(frames: DataFrame, options: Options = Options()) -> DataFrame:
 
     Black level, bad pixels, mosaic white balance, normalisation, demosaicing, crop, matrix, denoising,
     aberration, tone, orientation. The chain up to the demosaicing stays in arrays; after it pixels
-    are plain columns. A frame whose camera is unknown, or has a singular matrix, skips the matrix.
+    are plain columns. With a neighbourhood beside the demosaicing, all up to the tone curve is one pass over
+    whole frames, so nothing is shuffled. A frame whose camera is unknown, or has a singular matrix, skips the matrix.
     """
     keep = ["img_id", "exposure", "orientation", "camera"]
-    f = _array_black(frames)
-    if options.bad_pixels:
-        fixed = stencil.correct_bad_pixels(f, 0.5, options.bad_pixels)
-        f = to_array(fixed, ["v"], [c for c in frames.columns if c not in ("img_id", "width", "height", "data")])
-    f = _array_scaled(f, neutral_gains(options))
+    if options.bad_pixels or options.denoise_sigma or options.ca:
+        from .develop_frames import develop_frames, to_pixels
+
+        rest = tuple(keep[1:])
+        return toned(to_pixels(develop_frames(frames, options, rest, toned=False), rest), options)
+    f = _array_scaled(_array_black(frames), neutral_gains(options))
     if options.demosaic == "bilinear":
         p = stencil.bilinear_demosaic(f).select(*keep, "width", "height", "x", "y", "r", "g", "b")
     elif options.demosaic == "none":
@@ -114,6 +116,10 @@ def finish(p: DataFrame, options: Options) -> DataFrame:
             p = stencil.bilateral(to_array(p, ["r", "g", "b"], rest), s, s * 10000.0, -int(-2 * s // 1))
         if options.ca:
             p = stencil.chromatic_aberration(to_array(p, ["r", "g", "b"], rest), *options.ca)
+    return toned(p, options)
+
+
+def toned(p: DataFrame, options: Options) -> DataFrame:
     p = pointwise.tone_reproduction(p, F.col("exposure"), options.gamma)
     return geometry.orient(p, F.col("orientation"))
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from .develop import Options
 
 IN = ["img_id", "width", "height", "cfa", "white", "black", "exposure", "orientation", "neutral", "matrix", "data"]
 STACK = 8_000_000  # samples of a stack
+SMALL = 250_000  # pixels of one for the neighbourhoods in DOUBLE
 
 
 def chain(m: np.ndarray, cfa: str, white: np.ndarray, black: np.ndarray, gain: np.ndarray, options: Options) -> np.ndarray:
@@ -37,32 +39,52 @@ def chain(m: np.ndarray, cfa: str, white: np.ndarray, black: np.ndarray, gain: n
     return np.stack(dm.METHODS[method](m.astype(np.float32), colour, top.astype(np.float32)[:, None, None]), axis=-1)
 
 
+def coloured(rgb: np.ndarray, matrices: list, options: Options) -> np.ndarray:
+    """The matrix of the options, or of each frame; a frame without one stays as it is."""
+    if options.color_matrix:
+        return arrays.matrix(rgb, np.array(options.color_matrix, np.float32))
+    has = [i for i, m in enumerate(matrices) if m]
+    if not has:
+        return rgb
+    out = rgb.copy()
+    out[has] = arrays.matrix(rgb[has], np.array([matrices[i] for i in has], np.float32))
+    return out
+
+
 def finish(rgb: np.ndarray, options: Options) -> np.ndarray:
+    step = max(1, SMALL // max(1, rgb.shape[1] * rgb.shape[2]))
+    if (options.denoise_sigma or options.ca) and len(rgb) > step:
+        return np.concatenate([finish(rgb[a : a + step], options) for a in range(0, len(rgb), step)])
     if options.denoise_sigma:
         s = options.denoise_sigma
         rgb = arrays.bilateral(rgb, s, s * 10000.0, -int(-2 * s // 1))
     return arrays.aberration(rgb, *options.ca) if options.ca else rgb
 
 
-def _develop(options: Options, keep: tuple[str, ...]):
+def _unfit(rows: dict, i: int, samples: int, options: Options) -> str | None:
+    """Why a frame cannot be developed, or None."""
+    w, h, black = (rows[k][i] for k in ("width", "height", "black"))
+    if not (w and h) or samples != w * h:
+        return "samples do not fill the frame"
+    if options.demosaic not in ("none", "bilinear") and min(w, h) < dm.LEAST:
+        return "frame under 6 x 6"
+    return "no white or black levels" if rows["white"][i] is None or len(black or ()) != 4 or None in black else None
+
+
+def _develop(options: Options, keep: tuple[str, ...], toned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = dict(zip((*IN, *keep), batch.columns, strict=True))
+            c = dict(zip((*IN, *[k for k in keep if k not in IN]), batch.columns, strict=True))
             lists = c["data"]
-            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            values, ends = pc.fill_null(lists.values, 0).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             rows = {k: c[k].to_pylist() for k in IN if k not in ("data", "img_id")}
             n = batch.num_rows
             out: list = [None] * n
-            errors: list[str | None] = [None] * n
+            errors = [_unfit(rows, i, ends[i + 1] - ends[i], options) for i in range(n)]
             groups: dict[tuple, list[int]] = {}
             for i in range(n):
-                w, h = rows["width"][i], rows["height"][i]
-                if ends[i + 1] - ends[i] != w * h or not w * h:
-                    errors[i] = "samples do not fill the frame"
-                elif options.demosaic not in ("none", "bilinear") and min(w, h) < dm.LEAST:
-                    errors[i] = "frame under 6 x 6"
-                else:
-                    groups.setdefault((w, h, rows["cfa"][i]), []).append(i)
+                if errors[i] is None:
+                    groups.setdefault((rows["width"][i], rows["height"][i], (rows["cfa"][i] or "")[:4].ljust(4, "?")), []).append(i)
             for (w, h, cfa), members in groups.items():
                 step = max(1, STACK // (w * h))
                 for a in range(0, len(members), step):
@@ -72,12 +94,12 @@ def _develop(options: Options, keep: tuple[str, ...]):
                     rgb = chain(m, cfa, np.array([rows["white"][i] for i in part]), np.array([rows["black"][i] for i in part], np.int32), gain, options)
                     if options.crop:
                         rgb = arrays.crop(rgb, *options.crop)
-                    for k, i in enumerate(part):
-                        one = rgb[k : k + 1]
-                        mat = options.color_matrix or rows["matrix"][i]
-                        one = finish(arrays.matrix(one, np.array(mat, np.float32)) if mat else one, options)
-                        table = arrays.tone_table(rows["exposure"][i]) if options.gamma is None else arrays.gamma_table(options.gamma)
-                        out[i] = arrays.orient(table[one[0]], rows["orientation"][i])
+                    rgb = finish(coloured(rgb, [rows["matrix"][i] for i in part], options), options)
+                    for one, i in zip(rgb, part, strict=True):
+                        if toned:
+                            table = arrays.tone_table(rows["exposure"][i]) if options.gamma is None else arrays.gamma_table(options.gamma)
+                            one = arrays.orient(table[one], rows["orientation"][i])
+                        out[i] = one
             sizes = [(None, None) if o is None else (o.shape[1], o.shape[0]) for o in out]
             yield pa.RecordBatch.from_arrays(
                 [c["img_id"], *[pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1)], pa.array([None if o is None else np.ascontiguousarray(o).ravel() for o in out], pa.list_(pa.int32())), pa.array(errors, pa.string()), *[c[k] for k in keep]],
@@ -95,16 +117,19 @@ def _gains(neutral: list[float] | None, options: Options) -> list[float]:
     return [float(np.float32(1) / np.float32(v)) for v in neutral]
 
 
-def develop_frames(frames: DataFrame, options: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """img_id, width, height, data (r, g, b in turn), error of frames as ``develop`` takes them, and the columns of ``keep``."""
+def develop_frames(frames: DataFrame, options: Options = Options(), keep: tuple[str, ...] = (), toned: bool = True) -> DataFrame:
+    """img_id, width, height, data (r, g, b in turn), error of frames as ``develop`` takes them, and the columns of ``keep``.
+
+    Without ``toned`` they are as before the tone curve, not turned.
+    """
     ship(frames.sparkSession)
     c = lookup.cameras(frames.sparkSession).select("ordinal", lookup.camera_to_srgb(F.coalesce("cm2", "cm1")).cast("array<double>").alias("matrix"))
-    f = frames.join(F.broadcast(c), F.col("camera") == F.col("ordinal"), "left").select(*IN, *[frames[k] for k in keep])
+    f = frames.join(F.broadcast(c), F.col("camera") == F.col("ordinal"), "left").select(*IN, *[frames[k] for k in keep if k not in IN])
     more = "".join(f", {k} {dict(frames.dtypes)[k]}" for k in keep)
-    return f.mapInArrow(_develop(options, keep), f"img_id {dict(frames.dtypes)['img_id']}, width int, height int, data array<int>, error string{more}")
+    return f.mapInArrow(_develop(options, keep, toned), f"img_id {dict(frames.dtypes)['img_id']}, width int, height int, data array<int>, error string{more}")
 
 
-def to_pixels(rgb: DataFrame) -> DataFrame:
-    """Pixel form: img_id, width, height, x, y, r, g, b."""
-    p = rgb.where("error is null").select("img_id", "width", "height", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    return p.select("img_id", "width", "height", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), *[F.element_at("data", F.col("i") * 3 + (k + 1)).alias(n) for k, n in enumerate("rgb")])
+def to_pixels(rgb: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pixel form: img_id, the columns of ``keep``, width, height, x, y, r, g, b."""
+    p = rgb.where("error is null").select("img_id", *keep, "width", "height", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
+    return p.select("img_id", *keep, "width", "height", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), *[F.element_at("data", F.col("i") * 3 + (k + 1)).alias(n) for k, n in enumerate("rgb")])
