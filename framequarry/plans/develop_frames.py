@@ -5,7 +5,7 @@ The same chain as ``develop``, for frames that are large. Results are arrays; to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,16 +117,21 @@ def _gains(neutral: list[float] | None, options: Options) -> list[float]:
     return [float(np.float32(1) / np.float32(v)) for v in neutral]
 
 
-def develop_frames(frames: DataFrame, options: Options = Options(), keep: tuple[str, ...] = (), toned: bool = True) -> DataFrame:
+def develop_frames(frames: DataFrame, options: Options = Options(), keep: tuple[str, ...] = (), toned: bool = True, then: tuple[Callable, str] | None = None) -> DataFrame:
     """img_id, width, height, data (r, g, b in turn), error of frames as ``develop`` takes them, and the columns of ``keep``.
 
-    Without ``toned`` they are as before the tone curve, not turned.
+    Without ``toned`` they are as before the tone curve, not turned. ``then`` is what the same Python process does
+    with the batches, and the columns that it makes after img_id; a step of its own would hold a process a task more.
     """
     ship(frames.sparkSession)
     c = lookup.cameras(frames.sparkSession).select("ordinal", lookup.camera_to_srgb(F.coalesce("cm2", "cm1")).cast("array<double>").alias("matrix"))
     f = frames.join(F.broadcast(c), F.col("camera") == F.col("ordinal"), "left").select(*IN, *[frames[k] for k in keep if k not in IN])
     more = "".join(f", {k} {dict(frames.dtypes)[k]}" for k in keep)
-    return f.mapInArrow(_develop(options, keep, toned), f"img_id {dict(frames.dtypes)['img_id']}, width int, height int, data array<int>, error string{more}")
+    run, made = _develop(options, keep, toned), f"width int, height int, data array<int>, error string{more}"
+    if then:
+        first, (last, made) = run, then
+        run = lambda batches: last(first(batches))
+    return f.mapInArrow(run, f"img_id {dict(frames.dtypes)['img_id']}, {made}")
 
 
 def to_pixels(rgb: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

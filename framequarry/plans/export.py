@@ -15,7 +15,7 @@ from .develop_frames import develop_frames
 
 
 def export(frames: DataFrame, options: Options = Options(), kind: str = "png", bits: int = 16, **encoding) -> DataFrame:
-    """img_id, content, error of frames as ``develop_frames`` takes them; narrow, without a shuffle.
+    """img_id, content, error of frames as ``develop_frames`` takes them; narrow, without a shuffle, by one Python process a task.
 
     With PNG, the columns make, model and orientation and the struct ``exif`` (as ``raw.metadata`` gives it) become the
     file's EXIF, where there are any, beside an sRGB profile. Pixels are upright, so an orientation is written as 1.
@@ -27,10 +27,22 @@ def export(frames: DataFrame, options: Options = Options(), kind: str = "png", b
         fields.append(F.when(F.col("orientation").isNotNull(), F.lit(1)).alias("orientation"))
     if "exif" in kinds:
         fields += [F.col(f"exif.{n}") for n in frames.schema["exif"].dataType.names]
-    if kind != "png" or not fields:
-        return codecs.encode(develop_frames(frames, options), kind, bits, **encoding)
-    rgb = develop_frames(frames.withColumn("notes", F.struct(*fields)), options, keep=("notes",))
-    return codecs.encode(rgb.withColumn("icc", F.lit(bytearray(embedded.srgb_profile()))), kind, bits, **encoding)
+    noted = kind == "png" and bool(fields)
+    write = codecs.encoder(kind, bits, ["icc", "notes"] if noted else [], True, encoding)
+    profile = embedded.srgb_profile() if noted else b""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def laid() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                *rgb, error = b.columns[:5]
+                blocks = {"icc": pa.array([profile] * b.num_rows, pa.binary()), "notes": b.column(5)} if noted else {}
+                yield pa.RecordBatch.from_arrays([*rgb, *blocks.values(), error], ["img_id", "width", "height", "data", *blocks, "error"])
+
+        return write(laid())
+
+    if noted:
+        frames = frames.withColumn("notes", F.struct(*fields))
+    return develop_frames(frames, options, ("notes",) if noted else (), then=(files, "content binary, error string"))
 
 
 def save(files: DataFrame, folder: str, ending: str = "png") -> DataFrame:
